@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impressa.llm.components import components
-from impressa.llm.shared import cut, keyed
+from impressa.llm.shared import cut, keyed, trimmed
 from impressa.llm.sharing import frequency_levels, id_bitmap, maybe_in
 from impressa.llm.text import SPACED, documents_of, mix, run_hash
 
@@ -55,16 +55,28 @@ def _sets(batch, n: int):
         if len(short):
             own = np.array([run_hash(h, np.array([w.first[d]]), int(w.count[d]))[0] for d in short], np.uint64)
             doc, keys = np.concatenate([doc, short]), np.concatenate([keys, own])
-        order = np.lexsort((keys, doc))
+        order = _by_document(doc, keys)
         doc, keys = doc[order], keys[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
         yield first, w, doc[new], keys[new]
 
 
+def _by_document(doc, keys, level=None):
+    """Order by document, level and key: one sort of 64-bit words, or all keys if their high bits tie."""
+    level = np.zeros(1, np.uint8) if level is None else level
+    word = (doc.astype(np.uint64) << np.uint64(42)) | (level.astype(np.uint64) << np.uint64(38)) | (keys >> np.uint64(26))
+    order = np.argsort(word)
+    same = word[order][1:] == word[order][:-1]
+    if (same & (keys[order][1:] != keys[order][:-1])).any():
+        return np.lexsort((keys, np.broadcast_to(level, len(keys)), doc))
+    return order
+
+
 def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """doc_id, n (set size) and two 64-bit signatures of the set."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
             size, a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
@@ -82,6 +94,7 @@ def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
 def _prefixes(docs, reps, levels, n, percent):
     """Index entries (token, id, n, pos) of the shared shingles in the prefix of each class."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
             inside, ids = maybe_in(reps.value, batch.column("doc_id")), batch.column("doc_id").fill_null(0).to_numpy()
@@ -89,7 +102,7 @@ def _prefixes(docs, reps, levels, n, percent):
             ids = ids[inside]
             for first, w, doc, keys in _sets(batch, n):
                 level = levels.value.of(keys)
-                order = np.lexsort((keys, level, doc))
+                order = _by_document(doc, keys, level)
                 doc, keys, level = doc[order], keys[order], level[order]
                 size = np.bincount(doc, minlength=w.n_docs)
                 pos = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
@@ -111,6 +124,7 @@ def _verify(docs, pairs, levels, n, percent):
     """Of pairs (a, b, na, nb), those that link, checked on the shared shingles of both."""
     ids = id_bitmap(pairs.select("a").union(pairs.select("b")))
 
+    @trimmed
     def sets(batches):
         for batch in batches:
             batch = batch.filter(pa.array(maybe_in(ids.value, batch.column("doc_id"))))
@@ -125,6 +139,7 @@ def _verify(docs, pairs, levels, n, percent):
     held = docs.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"])
     rows = pairs.join(held.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
 
+    @trimmed
     def check(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -204,6 +219,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = docs.schema.fieldNames().index(id_col)
 
     def part(concerned):
+        @trimmed
         def run(batches):
             for batch in batches:
                 yield batch.filter(pa.array(maybe_in(maybe.value, batch.column(at).cast(pa.int64())) == concerned))

@@ -1,7 +1,9 @@
-"""Checkpoints and identifier helpers of the training-data operators."""
+"""Checkpoints, task memory and identifier helpers of the training-data operators."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,10 +31,38 @@ def cut(df: DataFrame) -> DataFrame:
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under names of its own."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def remainder(id_col: str | Column, n: int) -> Column:
     """crc32 of the identifier written as text, modulo n."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.crc32(c.cast("string")) % n
+
+
+BATCH_ROWS = 1_000
+
+
+def trimmed(run):
+    """A function for mapInArrow that gives freed memory back when its partition is done; workers live on."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+    return wrapped
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the session's Arrow batches by BATCH_ROWS rows: texts are long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df

@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from impressa.llm.shared import trimmed
 from impressa.llm.text import mix
 
 #: (document frequency, bits of the bitmap)
-THRESHOLDS = ((2, 28), (16, 25), (128, 23), (1024, 21))
+THRESHOLDS = ((2, 27), (16, 25), (128, 23), (1024, 21))
 _PART_BITS = 8
-_HELD = 3_000_000
+_HELD = 2_000_000
 ID_BITS = 26
 
 
@@ -49,11 +50,12 @@ class Levels:
 def frequency_levels(rows: DataFrame, keys_of, thresholds=THRESHOLDS):
     """Broadcast Levels over the keys that ``keys_of(batch)`` yields as (document number in the batch, keys)."""
 
+    @trimmed
     def send(batches):
         held, n, seen = [], 0, 0
 
         def flush():
-            both, _ = np.unique(np.concatenate(held), return_index=False), None
+            both = np.unique(np.concatenate(held))
             high = (both >> np.uint64(32)).astype(np.uint32)
             first = np.flatnonzero(np.concatenate(([True], high[1:] != high[:-1])))
             count = np.diff(np.append(first, len(high)))
@@ -80,6 +82,7 @@ def frequency_levels(rows: DataFrame, keys_of, thresholds=THRESHOLDS):
         if n:
             yield flush()
 
+    @trimmed
     def add(batches):
         parts = defaultdict(list)
         for batch in batches:
@@ -111,6 +114,7 @@ def frequency_levels(rows: DataFrame, keys_of, thresholds=THRESHOLDS):
 def id_bitmap(ids: DataFrame, bits: int = ID_BITS):
     """Broadcast bitmap of the first (long) column of ids; see :func:`maybe_in`."""
 
+    @trimmed
     def words(batches):
         for batch in batches:
             at = np.unique(_place(batch.column(0).drop_null().to_numpy(zero_copy_only=False), bits))

@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _POWERS: dict[str, np.ndarray] = {}
 _ODD = 0x9E3779B97F4A7C15 | 1
+_NEXT = 0x2545F4914F6CDD1D
 
 
 def _table(is_word) -> np.ndarray:
@@ -112,14 +113,17 @@ class Words:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         size = len(h) - n + 1
         first = np.flatnonzero(self.doc[:size] == self.doc[n - 1 :])
-        return first, run_hash(h, first, n)
+        total = h[:size]
+        for k in range(1, n):
+            total = total * np.uint64(_NEXT) + h[k : k + size]
+        return first, mix(total[first] + np.uint64(n))
 
 
 def run_hash(h: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n word hashes from each of ``first``."""
     total = np.zeros(len(first), np.uint64)
     for k in range(n):
-        total = total * np.uint64(0x2545F4914F6CDD1D) + h[first + k]
+        total = total * np.uint64(_NEXT) + h[first + k]
     return mix(total + np.uint64(n))
 
 
