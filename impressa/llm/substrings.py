@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impressa.llm.shared import cut, keyed
+from impressa.llm.shared import cut, keyed, trimmed
 from impressa.llm.sharing import frequency_levels, id_bitmap, maybe_in
 from impressa.llm.text import chunks, mix, powers, prefix_hash, range_hash, string_buffer
 
@@ -108,6 +108,7 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * width
 
+    @trimmed
     def send(batches):
         held, n = [], 0
         for batch in batches:
@@ -131,21 +132,24 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     sent = rows.mapInArrow(send, "part int, done boolean, docs binary, starts binary, sizes binary, body binary").repartition(width, "part")
 
+    @trimmed
     def find(batches):
         groups = defaultdict(list)
         for batch in batches:
             for p, done, *blobs in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 d, s, z = (np.frombuffer(b, np.int64 if i == 0 else np.int32) for i, b in enumerate(blobs[:3]))
                 groups[p].append((done, d, s.astype(np.int64), z.astype(np.int64), np.frombuffer(blobs[3], np.uint8)))
+        out = []
         for p in sorted(groups):
             mine = groups.pop(p)
-            out = [(d, s, s + z) for done, d, s, z, _ in mine if done]
+            out += [(d, s, s + z) for done, d, s, z, _ in mine if done]
             for lot in _lots([x[1:] for x in mine if not x[0]]):
                 out.append(_smallest(*lot, length))
-            yield from _by_document(out, parts)
+        yield from _by_document(out, width)
 
     found = sent.mapInArrow(find, "part int, docs binary, starts binary, ends binary").repartition(width, "part")
 
+    @trimmed
     def merge(batches):
         groups = defaultdict(list)
         for batch in batches:
@@ -255,6 +259,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     runs = cut(removed_runs(docs, id_col, text_col, length, k))
     known = id_bitmap(runs.select("doc_id"))
 
+    @trimmed
     def place(batches):
         for batch in batches:
             ids, texts, size, sha, text = batch.column("doc_id"), batch.column("text"), [], [], []
@@ -270,6 +275,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     spans = runs.select(F.col("doc_id").alias("_id"), "starts", "ends")
     both = rows.mapInArrow(place, "doc_id long, n_bytes long, sha string, text string").join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
 
+    @trimmed
     def finish(batches):
         for batch in batches:
             removed, n, sha = [], [], []
@@ -290,6 +296,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     ids = docs.schema.fieldNames().index(id_col)
 
     def part(concerned):
+        @trimmed
         def run(batches):
             for batch in batches:
                 yield batch.filter(pa.array(maybe_in(known.value, batch.column(ids).cast(pa.int64())) == concerned))
@@ -299,6 +306,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     spans = runs.select(F.col("doc_id").alias("_impressa_id"), F.col("starts").alias("_impressa_starts"), F.col("ends").alias("_impressa_ends"))
     both = part(True).join(spans, F.col(id_col).cast("long") == F.col("_impressa_id"), "left").drop("_impressa_id")
 
+    @trimmed
     def clean(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
