@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impressa.llm.shared import keyed
+from impressa.llm.shared import keyed, small_batches, trimmed
 from impressa.llm.text import ALNUM, documents_of, run_hash
 
 WINDOW = 13
@@ -36,6 +36,7 @@ _BITS = 20
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = WINDOW) -> DataFrame:
     """(hash, n, words, item_id), one row per distinct window of an item."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
             ids, rows = batch.column("doc_id").to_pylist(), set()
@@ -118,6 +119,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     if known is None:
         return _scan_by_join(docs, windows, id_col, text_col)
 
+    @trimmed
     def run(batches):
         for batch in batches:
             words, hits, items, spans = [], [], [], []
@@ -139,6 +141,7 @@ def _scan_by_join(docs: DataFrame, windows: DataFrame, id_col: str, text_col: st
     """The same rows where the benchmark is too large to broadcast: a shuffle join on the window."""
     sizes = [r.n for r in windows.select("n").distinct().collect()]
 
+    @trimmed
     def explode(batches):
         for batch in batches:
             ids = batch.column("doc_id")
@@ -154,6 +157,7 @@ def _scan_by_join(docs: DataFrame, windows: DataFrame, id_col: str, text_col: st
                             ["doc_id", "hash", "words", "at", "size", "start", "end"],
                         )
 
+    @trimmed
     def count(batches):
         for batch in batches:
             n = [w.count for _, _, w in documents_of(batch, "text", ALNUM)]
@@ -187,6 +191,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
         bad = scan(docs, benchmark, id_col, text_col, n, max_broadcast).where(contaminated(share)).select(F.col("doc_id").alias("_bad"))
         return docs.join(bad, F.col(id_col).cast("long") == F.col("_bad"), "left_anti")
 
+    @trimmed
     def run(batches):
         for batch in batches:
             keep = [np.zeros(0, bool)]
@@ -195,7 +200,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                 keep.append(~((n_hit > 0) & (share * n_hit >= w.count)))
             yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -204,6 +209,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if known is None:
         raise ValueError("remove_spans needs a benchmark within max_broadcast windows; use scan() and cut its spans")
 
+    @trimmed
     def run(batches):
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
@@ -217,4 +223,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             at = batch.schema.get_field_index(text_col)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from impressa.llm.components import components
-from impressa.llm.shared import cut
+from impressa.llm.shared import cut, trimmed
 
 COSINE = 0.95
 BLOCK = 1024
@@ -45,6 +45,7 @@ def _blocks(rows: DataFrame, directions: np.ndarray, eps: float, size: int) -> D
     """Sorted blocks of the epsilon grid order: bounding box, ids, weights and float32 vectors."""
     k = directions.shape[1]
 
+    @trimmed
     def project(batches):
         for batch in batches:
             v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
@@ -52,6 +53,7 @@ def _blocks(rows: DataFrame, directions: np.ndarray, eps: float, size: int) -> D
             cells = pa.array(list(np.floor(y / eps).astype(np.int32)), pa.list_(pa.int32()))
             yield batch.append_column("cells", cells).append_column("y", pa.array(list(y), pa.list_(pa.float64())))
 
+    @trimmed
     def block(batches):
         held, n, seq = [], 0, 0
         part = _part()
@@ -157,6 +159,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     both = pairs.join(sides.alias("a"), F.col("pa") == F.col("a.block")).select("pa", "pb", F.struct("a.ids", "a.weights", "a.data").alias("x"))
     both = both.join(sides.alias("b"), F.col("pb") == F.col("b.block")).select("pa", "pb", "x", F.struct("b.ids", "b.weights", "b.data").alias("y"))
 
+    @trimmed
     def compare(batches):
         for batch in batches:
             for i in range(batch.num_rows):

@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from impressa.llm.shared import cut, keyed, remainder
+from impressa.llm.shared import cut, keyed, remainder, small_batches, trimmed
 from impressa.llm.text import SPACED, documents_of
 
 CUT = 0.3
@@ -76,6 +76,7 @@ def _statistics(w, data) -> np.ndarray:
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the statistics of each whole text, without a shuffle."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
             rows = [np.zeros((0, len(FEATURES)))]
@@ -174,6 +175,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     feats = cut(features(docs, id_col, text_col))
     ranker = fit(feats, labels, id_col, label_col, max_labelled)
 
+    @trimmed
     def run(batches):
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
@@ -192,6 +194,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     some = some.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     ranker = fit(cut(features(docs.join(F.broadcast(some), F.col(id_col).cast("long") == F.col("_id"), "left_semi"), id_col, text_col)), labels, id_col, label_col, max_labelled)
 
+    @trimmed
     def run(batches):
         for batch in batches:
             text = batch.schema.get_field_index(text_col)
@@ -200,4 +203,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             rows += [_statistics(w, raw) for w, raw in _with_case(named)]
             yield batch.filter(pa.array(ranker.score(np.vstack(rows)) >= CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impressa.llm.shared import shared_dir
+from impressa.llm.shared import shared_dir, small_batches, trimmed
 
 CRLF = "\r\n"
 SEPARATOR = CRLF + CRLF
@@ -72,6 +72,7 @@ class ArcWriter:
 def arc_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARC_BYTES) -> DataFrame:
     """(name, content): ARC archives of the pages, of both versions in turn, within a task's batches."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
             n, arc, out = 0, None, []
@@ -87,7 +88,7 @@ def arc_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             if arc is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([arc.name]), pa.array([arc.bytes()])], ["name", "content"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(run, "name string, content binary")
 
 
@@ -128,6 +129,7 @@ def arc_to_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
     and undecodable bytes replaced.
     """
 
+    @trimmed
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
@@ -222,6 +224,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     have those their headers state.
     """
 
+    @trimmed
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
