@@ -11,11 +11,12 @@ equal suffixes meet in one bucket at equal places:
    context: of documents with equal contexts the smallest is sent, the others
    are resolved at once.  A key in a third of all documents thus costs one row
    per task and context.
-3. Reducers order the suffixes of one bucket range after the other and find the
-   smallest document of each LENGTH-byte string.
+3. Reducers order the suffixes of one bucket range after the other by a
+   difference cover (``suffixes``) and find the smallest document of each run of
+   neighbours that have LENGTH bytes in common.
 4. Removed runs are merged per document and joined with the texts concerned.
 
-Why not a difference cover: see the README.  Matches never cross documents.
+Matches never cross documents.
 Null and empty texts and those under LENGTH bytes lose nothing; a null id is
 never removed and removes nothing; rows that repeat a doc_id must repeat its
 text; an empty table gives no rows.
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from impressa.llm.shared import cut, keyed, trimmed
 from impressa.llm.sharing import frequency_levels, id_bitmap, maybe_in
+from impressa.llm.suffixes import Suffixes, buckets
 from impressa.llm.text import chunks, mix, powers, prefix_hash, range_hash, string_buffer
 
 LENGTH = 50
@@ -197,13 +199,13 @@ def _smallest(doc, start, size, body, length):
     which = np.repeat(np.arange(len(doc)), windows)
     place = np.arange(windows.sum()) - np.repeat(np.concatenate(([0], np.cumsum(windows)[:-1])), windows)
     at = np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), windows) + place
-    h = range_hash(prefix_hash(body), at, at + length)
-    order = np.argsort(h)
-    first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
-    d = doc[which[order]]
-    least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(d))))
-    hit = np.zeros(len(h), bool)
-    hit[order] = d > least
+    suffixes, hit = Suffixes(body, length), np.zeros(len(at), bool)
+    for own in buckets(suffixes, at):
+        order, same = suffixes.order(at[own])
+        first = np.flatnonzero(~same)
+        d = doc[which[own[order]]]
+        least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(d))))
+        hit[own[order]] = d > least
     on = np.flatnonzero(hit)
     owner, lead = np.unique(which[on], return_index=True)
     tail = np.append(lead[1:], len(on)) - 1

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from impressa.llm import chat, decontaminate, embeddings, jaccard, kneser_ney, packing, quality, queries, substrings, urls, warc
+from impressa.llm.suffixes import Suffixes, buckets
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.001"
@@ -73,6 +74,25 @@ def test_substrings(case, none):
     assert substrings.digests(none).count() == 0
 
 
+@pytest.mark.parametrize("depth", [20, 31, 50, 120])
+@pytest.mark.parametrize("most", [97, 1 << 19])
+def test_suffix_order(depth, most):
+    rng = np.random.default_rng(depth)
+    copied = rng.integers(97, 99, 400).astype(np.uint8)
+    body = np.concatenate([*(copied[a : a + depth + z] for a, z in rng.integers(0, 150, (40, 2))), np.full(700, 97, np.uint8), rng.integers(97, 99, 500).astype(np.uint8)])
+    at, seen, last = np.sort(rng.choice(len(body) - depth + 1, len(body) // 2, replace=False)), set(), b""
+    suffixes, n = Suffixes(body, depth), 0
+    for own in buckets(suffixes, at, most):
+        order, same = suffixes.order(at[own])
+        n += len(order)
+        for p, again in zip(at[own][order], same, strict=True):
+            text = body[p : p + depth].tobytes()
+            assert last <= text and again == (text in seen)
+            seen.add(text)
+            last = text
+    assert n == len(at)
+
+
 @pytest.mark.parametrize("limit", [decontaminate.MAX_BROADCAST, 0])
 def test_decontaminate(spark, case, none, limit):
     docs, df = case
