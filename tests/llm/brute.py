@@ -41,6 +41,35 @@ def jaccard(docs, n=5):
     return {i: (len(sets[i]), comp[i]) for i in docs}
 
 
+def kneser_ney(docs, prune):
+    """{doc_id: log10 probability} by a model of order 2, learnt outside fold 2 of 7."""
+    begin, end = object(), object()
+    pairs = {i: list(zip([begin, *words(t)], [*words(t), end], strict=True)) for i, t in docs.items()}
+    two = Counter(p for i in docs if fold(i, 7) != 2 for p in pairs[i])
+    one = Counter(b for _, b in two)
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+        if not n[0] or not n[1]:
+            return [0, 0.5, 0.75, 0.9]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 2]
+        return [0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))]
+
+    def step(own, followers, d, lower, cut):
+        if not followers:
+            return lower
+        left = sum(1 if c <= cut else d[min(c, 3)] for c in followers)
+        return (max(own - d[min(own, 3)], 0) * (own > cut) + left * lower) / sum(followers)
+
+    d1, d2, after = discounts(one), discounts(two), defaultdict(list)
+    for (a, _), c in two.items():
+        after[a].append(c)
+    low = defaultdict(lambda: step(0, one.values(), d1, 1 / (len(one) + 1), 0))
+    low |= {b: step(c, one.values(), d1, 1 / (len(one) + 1), 0) for b, c in one.items()}
+    return {i: sum(math.log10(step(two[a, b], after.get(a), d2, low[b], prune)) for a, b in own) for i, own in pairs.items()}
+
+
 def substrings(docs, n=50):
     """{doc_id: (bytes, removed, spans, kept)}"""
     first, out = {}, {}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from impressa.llm import chat, decontaminate, embeddings, jaccard, kneser_ney, packing, quality, queries, substrings, urls, warc
+from impressa.llm.components import components
 from impressa.llm.suffixes import Suffixes, buckets
 from tests.llm import brute
 
@@ -63,6 +64,20 @@ def test_jaccard(case, none):
     assert jaccard.classes(none).count() == 0 and jaccard.keep_first(none).count() == 0
 
 
+def test_components(spark):
+    r = random.Random(4)
+    chain = [(i, i + 1) for i in range(600)]
+    zigzag = [(1000 + i // 2 + 500 * (i % 2), 1000 + (i + 1) // 2 + 500 * ((i + 1) % 2)) for i in range(300)]
+    star = [(2999, 2000 + i) for i in range(200)]
+    loose = [(r.randrange(3000, 3400), r.randrange(3000, 3400)) for _ in range(220)]
+    edges = [*chain, *zigzag, *star, *loose, (5, 5), (None, 7), (8, None)]
+    r.shuffle(edges)
+    real = [e for e in edges if None not in e and e[0] != e[1]]
+    want = brute.components({n for e in real for n in e}, real)
+    got = components(spark.createDataFrame(edges, "a long, b long"))
+    assert {x.node: x.component for x in got.collect()} == want
+
+
 def test_substrings(case, none):
     docs, df = case
     want = brute.substrings(docs)
@@ -120,6 +135,14 @@ def test_language_model(spark, case, none):
     assert kneser_ney.score(none).count() == 0
 
 
+@pytest.mark.parametrize("prune", [0, 1])
+def test_language_model_scores(case, prune):
+    docs, df = case
+    want = brute.kneser_ney(docs, prune)
+    got = {r.doc_id: r.score for r in kneser_ney.score(df, prune=prune).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 @pytest.mark.parametrize("prune", [0, 1])
 def test_probabilities_sum_to_one(spark, prune):
     rows = [("a b a b c",), ("a b b",), ("c a b",), ("b a",), ("a b a c a",)]
