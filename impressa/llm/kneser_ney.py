@@ -12,8 +12,9 @@ mounted on all machines; it is made under spark.checkpoint.dir.  Files are
 written under a name of their own and renamed, so a retried task does no harm.
 
 Words are told apart by 32 bits of their hash in n-grams and by 64 bits in the
-unigram base.  Highest-order n-grams seen once are not stored (``prune``): they
-count in every statistic, and their mass goes to the lower order.
+unigram base.  Highest-order n-grams seen up to ``prune`` times are not stored:
+they count in every statistic, and their mass goes to the lower order.  The
+query stores all of them and takes trigrams.
 
 Null and empty texts are one end token; repeated rows count as often as they
 occur; a null id is training data with remainder null (held_out null); with no
@@ -76,8 +77,13 @@ def _unique(grams: np.ndarray, counts: np.ndarray):
         flat = flat[order]
         new = np.concatenate(([True], flat[1:] != flat[:-1]))
     else:
-        order = np.lexsort(grams.T[::-1])
-        new = np.concatenate(([True], (grams[order][1:] != grams[order][:-1]).any(1)))
+        key = _key(grams)
+        order = np.argsort(key)
+        same, changed = np.diff(key[order]) == 0, (grams[order][1:] != grams[order][:-1]).any(1)
+        if (same & changed).any():  # rows whose hashes collide may be mixed
+            order = np.lexsort(grams.T[::-1])
+            changed = (grams[order][1:] != grams[order][:-1]).any(1)
+        new = np.concatenate(([True], changed))
     first = np.flatnonzero(new)
     return grams[order][first], np.add.reduceat(counts[order], first)
 

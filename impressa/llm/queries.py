@@ -50,7 +50,7 @@ def op7_packing(spark, sf_dir):
 
 
 def op8_lm_scoring(spark, sf_dir):
-    return kneser_ney.score(_table(spark, sf_dir, "documents"))
+    return kneser_ney.score(_table(spark, sf_dir, "documents"), order=3, prune=0)
 
 
 def op9_benchmark_decontamination(spark, sf_dir):
