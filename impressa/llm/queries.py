@@ -46,7 +46,10 @@ def op6_warc(spark, sf_dir):
 
 
 def op7_packing(spark, sf_dir):
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    if not os.path.exists(TOKENIZER):
+        return packing.pack(docs)
+    return packing.pack(packing.token_lengths(docs, TOKENIZER), length=F.col("length"))
 
 
 def op8_lm_scoring(spark, sf_dir):
