@@ -28,9 +28,6 @@ LISTED = (
 )
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.8
-MAX_ITEMS = 3
-#: Only the mining looks at this many tokens of a url, the most general first; matching looks at all.
-MAX_MINED_TOKENS = 12
 
 
 def host_of(url: Column) -> Column:
@@ -62,10 +59,11 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(top, segments, keys, labels))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_items: int = MAX_ITEMS) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (rule_id, items, verdict, confidence, support, size) from rows of (items, verdict).
 
-    FP-growth counts in Spark; a rule needs min_support of the labelled rows and
+    FP-growth counts in Spark, over all tokens (it drops those below min_support
+    itself) and without a bound on the size of a rule; a rule needs min_support of the labelled rows and
     min_confidence, and goes if a subset of its items implies the same label
     with at least its confidence.
     """
@@ -73,11 +71,10 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     spark = labelled.sparkSession
     if not total:
         return spark.createDataFrame([], "rule_id long, items array<string>, verdict string, confidence double, support double, size int")
-    rows = labelled.select(F.concat(F.slice("items", 1, MAX_MINED_TOKENS), F.array(F.concat(F.lit("label="), "verdict"))).alias("items"))
+    rows = labelled.select(F.concat("items", F.array(F.concat(F.lit("label="), "verdict"))).alias("items"))
     sets = FPGrowth(minSupport=min_support, minConfidence=min_confidence).fit(rows).freqItemsets
     is_label = F.exists("items", lambda x: x.startswith("label="))
     body = F.array_sort(F.filter("items", lambda x: ~x.startswith("label=")))
-    sets = sets.where(F.size("items") <= max_items + 1)
     bodies = sets.where(~is_label).select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
     heads = sets.where(is_label & (F.size("items") > 1)).select(body.alias("items"), F.expr("substring(filter(items, x -> startswith(x, 'label='))[0], 7)").alias("verdict"), "freq")
     rules = heads.join(bodies, "items").select("items", "verdict", (F.col("freq") / F.col("n")).alias("confidence"), (F.col("freq") / total).alias("support"), F.size("items").alias("size"))
