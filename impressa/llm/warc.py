@@ -7,13 +7,18 @@ their declared lengths.  Each becomes a WARC/1.1 record with a name-based
 identifier, an ISO timestamp, an HTTP content type and a base32 SHA-1 payload
 digest; of equal payloads one is a response and the others revisit it.
 
-Archives are written by Spark's text sink with the record separator as line
-separator, so retries and lost executors cannot leave half files, and read back
+Payloads and HTTP headers are carried as bytes, so a payload in any encoding is
+converted.  A bad date becomes 1970-01-01.  After a bad header line or a length
+beyond the archive, parsing goes on at the next line that is a header with a
+whole record behind it.
+
+Archives are written by Spark's text sink (which writes the bytes of a string as
+they are) with the record separator as line separator, so retries and lost executors cannot leave half files, and read back
 as whole files of bounded record count.
 
 A null or empty payload is a record of length 0; null urls become ``-``; pages
 that repeat an id and payload are all responses or all revisits; records cut
-short or with bad lengths are returned with ``error`` set; an empty table gives
+short and bad header lines are returned with ``error`` set and not converted; an empty table gives
 no records.
 """
 
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from datetime import datetime, timezone
@@ -37,7 +43,7 @@ ARC_BYTES = 4_000_000
 RECORDS_PER_FILE = 2_000
 _V1 = b"URL IP-address Archive-date Content-type Archive-length\n"
 _V2 = b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
-_RECORD = "page_id long, url string, ip string, date string, mime string, http string, payload string, payload_bytes long, digest string, record_id string, error string"
+_RECORD = "page_id long, url string, ip string, date string, mime string, http binary, payload binary, payload_bytes long, digest string, record_id string, error string"
 
 
 def _digest(payload: bytes) -> str:
@@ -92,6 +98,28 @@ def arc_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return rows.mapInArrow(run, "name string, content binary")
 
 
+def _header(content: bytes, at: int, fields: int):
+    """(parts, first byte of the document, its declared size) of the line at a position, or None."""
+    end = content.find(b"\n", at)
+    if end < 0:
+        return None
+    line = content[at:end].rstrip(b"\r").decode("utf-8", "replace").split(" ")
+    if len(line) < fields or not line[-1].isdecimal():
+        return None
+    return line, end + 1, int(line[-1])
+
+
+def _resync(content: bytes, at: int, fields: int) -> int:
+    """The next line after a position that is a header of a url with a whole record behind it, or the end."""
+    while (at := content.find(b"\n", at) + 1) > 0:
+        found = _header(content, at, fields)
+        if found and len(found[0]) == fields and re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", found[0][0]):
+            after = found[1] + found[2]
+            if after == len(content) or content[after : after + 1] == b"\n":
+                return at
+    return len(content)
+
+
 def parse_arc(content: bytes):
     """(url, ip, date, mime, document, error) of each record after the version block."""
     at = content.find(b"\n") + 1
@@ -108,25 +136,25 @@ def parse_arc(content: bytes):
         if content[at : at + 1] == b"\n":
             at += 1
             continue
-        end = content.find(b"\n", at)
-        line = content[at : len(content) if end < 0 else end].rstrip(b"\r").decode("utf-8", "replace").split(" ")
-        if end < 0 or len(line) < fields or not line[-1].isdigit():
+        found = _header(content, at, fields)
+        if found is None:
             yield "-", "-", "-", "-", b"", "bad header line"
-            return
-        size, at = int(line[-1]), end + 1
-        document = content[at : at + size]
+            at = _resync(content, at, fields)
+            continue
+        line, start, size = found
+        document = content[start : start + size]
         if len(document) < size:
             yield line[0], line[1], line[2], line[3], document, "cut short"
-            return
+            at = _resync(content, at, fields)
+            continue
         yield line[0], line[1], line[2], line[3], document, None
-        at += size
+        at = start + size
 
 
 def arc_to_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of ARC archives (name, content) with synthesised identifiers, timestamps and digests.
 
-    Payloads are taken as UTF-8 text; a payload that is not has ``error`` set
-    and undecodable bytes replaced.
+    HTTP headers and payloads are bytes as they stand in the archive.
     """
 
     @trimmed
@@ -138,22 +166,16 @@ def arc_to_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     head, blank, payload = document.partition(b"\r\n\r\n")
                     if not document.startswith(b"HTTP/") or not blank:
                         head, payload = b"HTTP/1.0 200 OK", document
-                    http, page = head.decode("latin-1"), None
-                    for line in http.split(CRLF)[1:]:
+                    page = None
+                    for line in head.decode("latin-1").split(CRLF)[1:]:
                         if line.lower().startswith("x-page-id:") and line[10:].strip():
                             page = int(line[10:])
                     try:
                         when = datetime.strptime(date[:14].ljust(14, "0"), "%Y%m%d%H%M%S").replace(tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
                     except ValueError:
-                        when, error = "1970-01-01T00:00:00Z", error or "bad date"
-                    text = None
-                    if payloads:
-                        try:
-                            text = payload.decode()
-                        except UnicodeDecodeError:
-                            text, error = payload.decode("utf-8", "replace"), error or "not UTF-8"
+                        when = "1970-01-01T00:00:00Z"
                     digest = _digest(payload)
-                    rows.append((page, url, ip, when, mime, http, text, len(payload), digest, uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {date} {page} {digest}").urn, error))
+                    rows.append((page, url, ip, when, mime, head, payload if payloads else None, len(payload), digest, uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {date} {page} {digest}").urn, error))
                     if len(rows) == 500:
                         yield _records(rows)
                         rows = []
@@ -164,12 +186,12 @@ def arc_to_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 def _records(rows):
     cols = list(zip(*rows, strict=True)) or [[]] * 11
-    kinds = [pa.int64(), *[pa.string()] * 6, pa.int64(), *[pa.string()] * 3]
+    kinds = [pa.int64(), *[pa.string()] * 4, *[pa.binary()] * 2, pa.int64(), *[pa.string()] * 3]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _RECORD.split(", ")])
 
 
 def warc_records(archives: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """WARC records (page_id, record) of ARC archives.
+    """WARC records (page_id, record as bytes) of ARC archives.
 
     Of records with equal payloads of at least min_revisit_bytes, that with the
     largest page_id is the response.  Digests are grouped first (a row per
@@ -183,19 +205,20 @@ def warc_records(archives: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     again = keys.select("page_id", "digest", "payload_bytes", "record_id").join(known, (F.col("digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_n"))).where("page_id < first.page_id").select(F.col("record_id").alias("_id"), "first").distinct()
     rows = records.join(again, F.col("record_id") == F.col("_id"), "left")
     revisit = F.col("first").isNotNull()
-    http = F.concat("http", F.lit(SEPARATOR))
-    block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
+    # a cast from binary to string keeps the bytes, UTF-8 or not
+    http = F.concat(F.col("http").cast("string"), F.lit(SEPARATOR))
+    block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload").cast("string")))
     text = F.concat_ws(
         CRLF, F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")), F.concat(F.lit("WARC-Record-ID: <"), "record_id", F.lit(">")),
         F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Target-URI: "), "url"), F.concat(F.lit("WARC-IP-Address: "), "ip"), F.concat(F.lit("WARC-Payload-Digest: sha1:"), "digest"),
         F.when(revisit, F.concat_ws(CRLF, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), F.concat(F.lit("WARC-Refers-To: <"), "first.record_id", F.lit(">")), F.concat(F.lit("WARC-Refers-To-Target-URI: "), "first.url"), F.concat(F.lit("WARC-Refers-To-Date: "), "first.date"), F.concat(F.lit("X-Refers-To-Page-Id: "), "first.page_id"))),
         F.concat(F.lit("X-Payload-Length: "), "payload_bytes"), F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), F.octet_length(block)), F.lit(CRLF))
-    return rows.select("page_id", F.concat(text, block).alias("record"))
+    return rows.select("page_id", F.concat(text, block).cast("binary").alias("record"))
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip", records_per_file: int = RECORDS_PER_FILE) -> None:
     """WARC files of at most records_per_file records under path."""
-    records.select("record").write.option("lineSep", SEPARATOR).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+    records.select(F.col("record").cast("string")).write.option("lineSep", SEPARATOR).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def parse_warc(content: bytes):
