@@ -117,11 +117,19 @@ def history(rows: DataFrame, keys: list[str], day: str, prior: float = 20.0) ->
 
 
 def recent_items(rows: DataFrame, user: str, day: str, item: str, row_id: str, length: int) -> DataFrame:
-    """The last items of a user on strictly earlier days."""
-    w = Window.partitionBy(user).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
-    seen = F.array_sort(F.collect_list(F.struct(day, row_id, item)).over(w))
-    last = F.transform(F.slice(seen, F.greatest(F.size(seen) - length + 1, F.lit(1)), length), lambda x: x[item])
-    return rows.withColumn("recent", last)
+    """The last items of a user on strictly earlier days.
+
+    Each of a user's days keeps its last ``length`` rows; a row then looks at
+    ``length`` days before its own, so no array grows with the history.
+    """
+    late = F.row_number().over(Window.partitionBy(user, day).orderBy(F.desc(row_id), F.desc(item)))
+    days = rows.select(user, day, row_id, item).withColumn("_p", late).where(F.col("_p") <= length)
+    days = days.groupBy(F.col(user).alias("_u"), F.col(day).alias("_d")).agg(F.array_sort(F.collect_list(F.struct(row_id, item))).alias("_i"))
+    w = Window.partitionBy("_u").orderBy("_d").rowsBetween(-length, -1)
+    seen = F.flatten(F.collect_list(F.transform("_i", lambda x: x[item])).over(w))
+    last = F.slice(seen, F.greatest(F.size(seen) - length + 1, F.lit(1)), length)
+    days = days.select("_u", "_d", last.alias("recent"))
+    return rows.join(days, F.col(user).eqNullSafe(F.col("_u")) & F.col(day).eqNullSafe(F.col("_d"))).drop("_u", "_d")
 
 
 def decay_weights(rows: DataFrame, day: Column, decay: float) -> DataFrame:
