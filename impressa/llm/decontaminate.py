@@ -12,7 +12,7 @@ benchmark by a shuffle on the hash.
 
 Null or empty texts have no words and no hits; items without words have no
 windows; repeated items each count; an empty benchmark leaves all documents
-clean; a null identifier is kept as it is.
+clean; a null identifier is kept as it is, and counts as one item.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["hash", "n", "words", "item_id"])
 
-    return keyed(benchmark, id_col, text_col).where("doc_id is not null").mapInArrow(run, "hash long, n int, words binary, item_id long").distinct()
+    return keyed(benchmark, id_col, text_col).mapInArrow(run, "hash long, n int, words binary, item_id long").distinct()
 
 
 class WindowSet:
@@ -127,7 +127,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 n_hit, found, runs = _scan_chunk(w, known.value)
                 words += w.count.tolist()
                 hits += n_hit.tolist()
-                items += [sorted(found.get(d, ())) for d in range(w.n_docs)]
+                items += [sorted(found.get(d, ()), key=lambda x: (x is None, x)) for d in range(w.n_docs)]
                 spans += [runs.get(d, []) for d in range(w.n_docs)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
@@ -166,7 +166,7 @@ def _scan_by_join(docs: DataFrame, windows: DataFrame, id_col: str, text_col: st
     rows = keyed(docs, id_col, text_col)
     hits = rows.mapInArrow(explode, "doc_id long, hash long, words binary, at long, size long, start long, end long").join(windows.drop("n"), ["hash", "words"])
     word_spans = hits.select("doc_id", "item_id", "at", "size", "start", "end")
-    merged = word_spans.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("to"), "start", "end"))).alias("runs"))
+    merged = word_spans.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("item_id"))), lambda x: x["item_id"]).alias("items"), F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("to"), "start", "end"))).alias("runs"))
     start = "cast(array() as array<struct<at:bigint,to:bigint,start:bigint,end:bigint>>)"
     fold = f"""aggregate(runs, {start}, (a, r) -> case when size(a) > 0 and a[size(a) - 1].to >= r.at
         then concat(slice(a, 1, size(a) - 1), array(named_struct('at', a[size(a) - 1].at, 'to', greatest(a[size(a) - 1].to, r.to), 'start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, r.end))))
