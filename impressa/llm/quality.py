@@ -190,7 +190,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     Statistics of the labelled documents are computed for the fit, and of all
     documents while filtering.
     """
-    some = labels.select(F.col(id_col).cast("long").alias("_id")).where(remainder("_id", 5) != 0).where("_id is not null").distinct()
+    usable = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").where(remainder("_id", 5) != 0)
+    some = usable.select("_id").distinct().join(docs.select(F.col(id_col).cast("long").alias("_id")), "_id", "left_semi")
     some = some.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     ranker = fit(cut(features(docs.join(F.broadcast(some), F.col(id_col).cast("long") == F.col("_id"), "left_semi"), id_col, text_col)), labels, id_col, label_col, max_labelled)
 
