@@ -8,12 +8,13 @@ equal suffixes meet in one bucket at equal places:
 1. Every task sends 32 bits of each bucket key it holds; buckets with one
    document only are dropped (``sharing.frequency_levels``).
 2. For the others each task sends the bytes around the key once per distinct
-   context: of documents with equal contexts the smallest is sent, the others
-   are resolved at once.  A key in a third of all documents thus costs one row
-   per task and context.
-3. Reducers order the suffixes of one bucket range after the other by a
-   difference cover (``suffixes``) and find the smallest document of each run of
-   neighbours that have LENGTH bytes in common.
+   context: of documents with equal contexts (compared byte by byte) the
+   smallest is sent, the others are resolved at once.  A key in a third of all
+   documents thus costs one row per task and context.
+3. Reducers stream the bucket ranges.  In a range equal contexts become one
+   class again; where a key has several classes, their suffixes are ordered by
+   a difference cover (``suffixes``), and each run of neighbours with LENGTH
+   bytes in common goes to its smallest document.
 4. Removed runs are merged per document and joined with the texts concerned.
 
 Matches never cross documents.
@@ -32,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impressa.llm.shared import cut, keyed, trimmed
-from impressa.llm.sharing import frequency_levels, id_bitmap, maybe_in
+from impressa.llm.shared import cut, fresh, keyed, trimmed
+from impressa.llm.sharing import frequency_levels, id_bitmap, levels_of, maybe_in
 from impressa.llm.suffixes import Suffixes, buckets
 from impressa.llm.text import chunks, mix, powers, prefix_hash, range_hash, string_buffer
 
 LENGTH = 50
 K = 20
 _SHARED = ((2, 27),)
-_HELD = 100_000
+_HELD = 100_000  # contexts
 
 
 def _slide(a: np.ndarray, width: int, best) -> np.ndarray:
@@ -108,7 +109,7 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = frequency_levels(rows, keys_of, _SHARED)
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * width
+    parts = 16 * width
 
     @trimmed
     def send(batches):
@@ -117,36 +118,34 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ids = batch.column("doc_id").to_numpy()
             for first, data, offsets in _chunks(batch, "text"):
                 a = Anchors(data, offsets, length, k)
-                which, lo, hi = a.intervals(np.flatnonzero(shared.value.of(a.key))) if len(a.at) else (a.at, a.at, a.at)
+                which, lo, hi = a.intervals(np.flatnonzero(levels_of(shared.value, a.key))) if len(a.at) else (a.at, a.at, a.at)
                 if not len(which):
                     continue
-                end, doc = hi + length, np.searchsorted(offsets, lo, "right") - 1
-                context = range_hash(a.sums, lo, end) ^ mix(a.key[which] + (a.at[which] - lo).astype(np.uint64))
-                size = end - lo
-                body = data[np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
-                held.append((context, a.key[which], ids[doc + first], lo - offsets[doc], size, body))
+                size, doc = hi + length - lo, np.searchsorted(offsets, lo, "right") - 1
+                held.append((range_hash(a.sums, lo, lo + size), a.key[which], ids[doc + first], lo - offsets[doc], size, a.at[which] - lo, data[_places(lo, size)]))
                 n += len(which)
                 if n >= _HELD:
-                    yield from _contexts(held, parts, width)
+                    yield from _contexts(held, parts)
                     held, n = [], 0
         if n:
-            yield from _contexts(held, parts, width)
+            yield from _contexts(held, parts)
 
-    sent = rows.mapInArrow(send, "part int, done boolean, docs binary, starts binary, sizes binary, body binary").repartition(width, "part")
+    sent = rows.mapInArrow(send, "part int, done boolean, docs binary, starts binary, sizes binary, anchors binary, body binary").repartition(width, "part").sortWithinPartitions("part")
 
     @trimmed
     def find(batches):
-        groups = defaultdict(list)
-        for batch in batches:
-            for p, done, *blobs in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                d, s, z = (np.frombuffer(b, np.int64 if i == 0 else np.int32) for i, b in enumerate(blobs[:3]))
-                groups[p].append((done, d, s.astype(np.int64), z.astype(np.int64), np.frombuffer(blobs[3], np.uint8)))
-        out = []
-        for p in sorted(groups):
-            mine = groups.pop(p)
-            out += [(d, s, s + z) for done, d, s, z, _ in mine if done]
-            for lot in _lots([x[1:] for x in mine if not x[0]]):
-                out.append(_smallest(*lot, length))
+        out, n = [], 0
+        for mine in _by_part(batches):
+            for done, d, s, z, _, _ in mine:
+                if done:
+                    out.append((d, s, s + z))
+            lot = [x[1:] for x in mine if not x[0]]
+            if lot:
+                out += _matches(*(np.concatenate(x) for x in zip(*lot, strict=True)), length, k)
+            n += sum(len(x[1]) for x in mine)
+            if n >= _HELD:
+                yield from _by_document(out, width)
+                out, n = [], 0
         yield from _by_document(out, width)
 
     found = sent.mapInArrow(find, "part int, docs binary, starts binary, ends binary").repartition(width, "part")
@@ -164,41 +163,98 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.mapInArrow(merge, "doc_id long, starts array<int>, ends array<int>")
 
 
-def _contexts(held, parts: int, width: int):
+def _before(size: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(size)[:-1]))
+
+
+def _places(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all bytes of the runs, one run after the other."""
+    return np.repeat(at - _before(size), size) + np.arange(size.sum())
+
+
+def _classes(body: np.ndarray, at: np.ndarray, size: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Class number of each byte run: equal numbers for equal bytes.  Found by hash, then compared byte by byte."""
+    order = np.argsort(context)
+    same = np.zeros(len(order), bool)
+    same[1:] = (context[order][1:] == context[order][:-1]) & (size[order][1:] == size[order][:-1])
+    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    again = np.flatnonzero(same)
+    z = size[order[again]]
+    if len(again) and (body[_places(at[order[again]], z)] != body[_places(at[lead[again]], z)]).any():
+        known: dict[bytes, int] = {}  # two texts with one hash
+        return np.array([known.setdefault(body[p : p + n].tobytes(), len(known)) for p, n in zip(at, size, strict=True)])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(~same) - 1
+    return out
+
+
+def _contexts(held, parts: int):
     """Rows to send: the smallest document of each distinct context; the others are done."""
-    context, key, doc, start, size = (np.concatenate(x) for x in list(zip(*held, strict=True))[:5])
-    body = np.concatenate([h[5] for h in held])
-    at = np.concatenate(([0], np.cumsum(size)[:-1]))
-    order = np.lexsort((doc, context))
-    new = np.concatenate(([True], context[order][1:] != context[order][:-1]))
-    least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    later = np.zeros(len(doc), bool)
-    later[order] = doc[order] > least
+    context, key, doc, start, size, anchor, body = (np.concatenate(x) for x in zip(*held, strict=True))
+    at = _before(size)
+    number = _classes(body, at, size, context)
+    least = np.full(number.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, number, doc)
+    later = doc > least[number]
     part = (key >> np.uint64(32)) % np.uint64(parts)
     for done in (False, True):
         which = np.flatnonzero(later == done)
         which = which[np.argsort(part[which], kind="stable")]
         for own in np.split(which, np.flatnonzero(np.diff(part[which].astype(np.int64))) + 1):
             if len(own):
-                z = size[own]
-                text = b"" if done else body[np.repeat(at[own] - np.concatenate(([0], np.cumsum(z)[:-1])), z) + np.arange(z.sum())].tobytes()
+                text = b"" if done else body[_places(at[own], size[own])].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(part[own[0]])], pa.int32()), pa.array([done]), pa.array([doc[own].tobytes()]), pa.array([start[own].astype(np.int32).tobytes()]), pa.array([z.astype(np.int32).tobytes()]), pa.array([text], pa.binary())],
-                    ["part", "done", "docs", "starts", "sizes", "body"])
-
-
-def _lots(blobs):
-    """One array set of a bucket range.  All rows of a key are in it."""
-    if blobs:
-        yield tuple(np.concatenate(x) for x in zip(*blobs, strict=True))
-
-
-def _smallest(doc, start, size, body, length):
-    """Matched runs (doc, start, end) of contexts: windows that a smaller document has too."""
+                    [pa.array([int(part[own[0]])], pa.int32()), pa.array([done]), *(pa.array([x[own].astype(t).tobytes()]) for x, t in ((doc, np.int64), (start, np.int32), (size, np.int16), (anchor, np.int16))), pa.array([text], pa.binary())],
+                    ["part", "done", "docs", "starts", "sizes", "anchors", "body"])
+
+
+def _by_part(batches):
+    """Lists of (done, docs, starts, sizes, anchors, body), one for each bucket range; rows come sorted by it."""
+    now, held = None, []
+    for batch in batches:
+        for p, done, *blobs in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if p != now and held:
+                yield held
+                held = []
+            now = p
+            d, s, z, a, body = (np.frombuffer(b, t) for b, t in zip(blobs, (np.int64, np.int32, np.int16, np.int16, np.uint8), strict=True))
+            held.append((done, d, s.astype(np.int64), z.astype(np.int64), a.astype(np.int64), body))
+    if held:
+        yield held
+
+
+def _matches(doc, start, size, anchor, body, length, k):
+    """Matched runs (docs, starts, ends) of the contexts of one bucket range.
+
+    Equal contexts are one class: documents after its first lose all of it.
+    What is left to find are windows that differing contexts of one key share.
+    """
+    at, sums = _before(size), prefix_hash(body)
+    number = _classes(body, at, size, range_hash(sums, at, at + size))
+    order = np.lexsort((doc, number))
+    first = np.flatnonzero(np.concatenate(([True], number[order][1:] != number[order][:-1])))
+    lead = order[first]
+    least = doc[lead]
+    later = doc > least[number]
+    out = [(doc[later], start[later], start[later] + size[later])]
+    key = range_hash(sums, at[lead] + anchor[lead], at[lead] + anchor[lead] + k)
+    _, bucket, n = np.unique(key, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(n[bucket] > 1)
+    if not len(several):
+        return out
+    own, a, z = _smallest(least[several], size[lead[several]], body[_places(at[lead[several]], size[lead[several]])], length)
+    begin, end = np.full(len(lead), -1), np.full(len(lead), -1)
+    begin[several[own]], end[several[own]] = a, z
+    rest = np.flatnonzero(~later & (begin[number] >= 0))
+    return [*out, (doc[rest], start[rest] + begin[number[rest]], start[rest] + end[number[rest]])]
+
+
+def _smallest(doc, size, body, length):
+    """(context, start, end within it) of the windows that a context of a smaller document has too."""
     windows = size - length + 1
     which = np.repeat(np.arange(len(doc)), windows)
-    place = np.arange(windows.sum()) - np.repeat(np.concatenate(([0], np.cumsum(windows)[:-1])), windows)
-    at = np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), windows) + place
+    place = _places(np.zeros(len(doc), np.int64), windows)
+    at = _places(_before(size), windows)
     suffixes, hit = Suffixes(body, length), np.zeros(len(at), bool)
     for own in buckets(suffixes, at):
         order, same = suffixes.order(at[own])
@@ -207,9 +263,10 @@ def _smallest(doc, start, size, body, length):
         least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(d))))
         hit[own[order]] = d > least
     on = np.flatnonzero(hit)
-    owner, lead = np.unique(which[on], return_index=True)
-    tail = np.append(lead[1:], len(on)) - 1
-    return doc[owner], start[owner] + place[on[lead]], start[owner] + place[on[tail]] + length
+    # windows of one context all hold its key, so those that are hit overlap: they are one run
+    owner, head = np.unique(which[on], return_index=True)
+    tail = np.append(head[1:], len(on))[: len(head)] - 1
+    return owner, place[on[head]], place[on[tail]] + length
 
 
 def _by_document(out, parts):
@@ -305,15 +362,16 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
         return docs.mapInArrow(run, docs.schema)
 
-    spans = runs.select(F.col("doc_id").alias("_impressa_id"), F.col("starts").alias("_impressa_starts"), F.col("ends").alias("_impressa_ends"))
-    both = part(True).join(spans, F.col(id_col).cast("long") == F.col("_impressa_id"), "left").drop("_impressa_id")
+    key, first, last = (fresh(c, docs) for c in ("_key", "_starts", "_ends"))
+    spans = runs.select(F.col("doc_id").alias(key), F.col("starts").alias(first), F.col("ends").alias(last))
+    both = part(True).join(spans, F.col(id_col).cast("long") == F.col(key), "left").drop(key)
 
     @trimmed
     def clean(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts = []
-            for t, starts, ends in zip(*(batch.column(c).to_pylist() for c in (text_col, "_impressa_starts", "_impressa_ends")), strict=True):
+            for t, starts, ends in zip(*(batch.column(c).to_pylist() for c in (text_col, first, last)), strict=True):
                 texts.append(t if not starts else kept_bytes(t.encode(), starts, ends).decode("utf-8", "ignore"))
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(list(range(batch.num_columns - 2)))
 
