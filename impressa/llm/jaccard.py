@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impressa.llm.components import components
-from impressa.llm.shared import cut, keyed, trimmed
-from impressa.llm.sharing import frequency_levels, id_bitmap, maybe_in
+from impressa.llm.shared import cut, fresh, keyed, trimmed
+from impressa.llm.sharing import frequency_levels, id_bitmap, levels_of, maybe_in
 from impressa.llm.text import SPACED, documents_of, mix, run_hash
 
 WORDS = 5
@@ -101,7 +101,7 @@ def _prefixes(docs, reps, levels, n, percent):
             batch = batch.filter(pa.array(inside))
             ids = ids[inside]
             for first, w, doc, keys in _sets(batch, n):
-                level = levels.value.of(keys)
+                level = levels_of(levels.value, keys)
                 order = _by_document(doc, keys, level)
                 doc, keys, level = doc[order], keys[order], level[order]
                 size = np.bincount(doc, minlength=w.n_docs)
@@ -130,7 +130,7 @@ def _verify(docs, pairs, levels, n, percent):
             batch = batch.filter(pa.array(maybe_in(ids.value, batch.column("doc_id"))))
             own = batch.column("doc_id").to_numpy()
             for first, w, doc, keys in _sets(batch, n):
-                shared = levels.value.of(keys) > 0
+                shared = levels_of(levels.value, keys) > 0
                 doc, keys = doc[shared], keys[shared]
                 ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=w.n_docs)))) * 8
                 raw = pa.Array.from_buffers(pa.large_binary(), w.n_docs, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
@@ -213,8 +213,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents without words stay.  The ids that go are joined without moving
     the texts if they are few; otherwise Spark shuffles.
     """
-    gone = classes(docs, id_col, text_col, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = cut(gone)
+    key = fresh("_gone", docs)
+    gone = cut(classes(docs, id_col, text_col, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct())
     maybe = id_bitmap(gone)
     at = docs.schema.fieldNames().index(id_col)
 
@@ -227,4 +227,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return docs.mapInArrow(run, docs.schema)
 
     # only documents that may go are looked up: the others pass without a shuffle
-    return part(False).unionByName(part(True).join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti"))
+    return part(False).unionByName(part(True).join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from impressa.llm.shared import cut, keyed, remainder, small_batches, trimmed
-from impressa.llm.text import SPACED, documents_of
+from impressa.llm.text import SPACED, documents_of, string_buffer
 
 CUT = 0.3
 MAX_LABELLED = 20_000
@@ -87,8 +87,6 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _with_case(batch):
-    from impressa.llm.text import string_buffer
-
     data, offsets = string_buffer(batch.column("text"))
     for first, last, w in documents_of(batch, "text", SPACED):
         yield w, data[offsets[first] : offsets[last]]

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the cluster names none (a local test), a temporary folder is set.
+    Only on a local master that names none (a test), a temporary folder is set.
     """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="impressa-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -34,6 +36,14 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def remainder(id_col: str | Column, n: int) -> Column:
     """crc32 of the identifier written as text, modulo n."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

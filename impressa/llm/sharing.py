@@ -27,28 +27,28 @@ _HELD = 2_000_000
 ID_BITS = 26
 
 
-class Levels:
-    """Bitmaps by threshold; ``of`` gives each key the number of thresholds it reaches."""
-
-    def __init__(self, thresholds, slices):
-        self.bits = [b for _, b in thresholds]
-        self.maps = [np.zeros(1 << (b - 3), np.uint8) for b in self.bits]
-        for part, level, data in slices:
-            size = 1 << (self.bits[level] - 3 - _PART_BITS)
-            self.maps[level][part * size : (part + 1) * size] = np.frombuffer(data, np.uint8)
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        high, level = (keys >> np.uint64(32)).astype(np.int64), np.zeros(len(keys), np.uint8)
-        rest = np.arange(len(keys))
-        for bits, known in zip(self.bits, self.maps, strict=True):
-            at = high[rest] >> (32 - bits)
-            rest = rest[(known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            level[rest] += 1
-        return level
+def levels_of(levels: list, keys: np.ndarray) -> np.ndarray:
+    """How many thresholds each key reaches; levels are (bits, bitmap) pairs as broadcast, plain arrays that workers without this library can load."""
+    high, level = (keys >> np.uint64(32)).astype(np.int64), np.zeros(len(keys), np.uint8)
+    rest = np.arange(len(keys))
+    for bits, known in levels:
+        at = high[rest] >> (32 - bits)
+        rest = rest[(known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        level[rest] += 1
+    return level
+
+
+def _levels(thresholds, slices) -> list:
+    levels = [(b, np.zeros(1 << (b - 3), np.uint8)) for _, b in thresholds]
+    for part, level, data in slices:
+        bits, known = levels[level]
+        size = 1 << (bits - 3 - _PART_BITS)
+        known[part * size : (part + 1) * size] = np.frombuffer(data, np.uint8)
+    return levels
 
 
 def frequency_levels(rows: DataFrame, keys_of, thresholds=THRESHOLDS):
-    """Broadcast Levels over the keys that ``keys_of(batch)`` yields as (document number in the batch, keys)."""
+    """Broadcast levels (see :func:`levels_of`) over the keys that ``keys_of(batch)`` yields as (document number in the batch, keys)."""
 
     @trimmed
     def send(batches):
@@ -108,7 +108,7 @@ def frequency_levels(rows: DataFrame, keys_of, thresholds=THRESHOLDS):
     width = min(1 << _PART_BITS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = rows.mapInArrow(send, "part int, one binary, many binary, counts binary").repartition(width, "part")
     slices = sent.mapInArrow(add, "part int, level int, bits binary").toArrow()
-    return spark.sparkContext.broadcast(Levels(thresholds, zip(*(slices.column(i).to_pylist() for i in range(3)), strict=True)))
+    return spark.sparkContext.broadcast(_levels(thresholds, zip(*(slices.column(i).to_pylist() for i in range(3)), strict=True)))
 
 
 def id_bitmap(ids: DataFrame, bits: int = ID_BITS):
