@@ -50,6 +50,21 @@ def remainder(id_col: str | Column, n: int) -> Column:
     return F.crc32(c.cast("string")) % n
 
 
+def spread_join(many: DataFrame, one: DataFrame, on: str, by: Column, how: str = "inner") -> DataFrame:
+    """``many`` joined with the one row that ``one`` has per key, where a key may hold a third of the rows.
+
+    A key with more rows than a quarter of a partition's share is cut in pieces
+    by a hash of ``by``, each with its own copy of the key's row.  There are at
+    most four such keys per partition, so their list can be broadcast.
+    ``many`` is read three times: give it written.
+    """
+    most = max(100, many.count() // (4 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot = F.broadcast(many.groupBy(F.col(on).alias("_hot")).count().where(F.col("count") > most).select("_hot", F.ceil(F.col("count") / most).alias("_pieces")))
+    dealt = many.join(hot, F.col(on) == F.col("_hot"), "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(by), F.col("_pieces")), F.lit(0).cast("long"))).drop("_hot", "_pieces")
+    copies = one.join(hot, F.col(on) == F.col("_hot"), "left").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1).cast("long")) - 1))).drop("_hot", "_pieces")
+    return dealt.join(copies, [on, "_piece"], how).drop("_piece")
+
+
 BATCH_ROWS = 1_000
 
 
