@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impressa.llm.components import components
-from impressa.llm.shared import cut, fresh, keyed, trimmed
+from impressa.llm.shared import cut, fresh, keyed, spread_join, trimmed
 from impressa.llm.sharing import frequency_levels, id_bitmap, levels_of, maybe_in
 from impressa.llm.text import SPACED, documents_of, mix, run_hash
 
@@ -137,7 +137,7 @@ def _verify(docs, pairs, levels, n, percent):
                 yield pa.RecordBatch.from_arrays([pa.array(own[first : first + w.n_docs]), raw], ["id", "set"])
 
     held = docs.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"])
-    rows = pairs.join(held.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    rows = spread_join(pairs, held.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b", F.col("a")).join(held.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
 
     @trimmed
     def check(batches):
