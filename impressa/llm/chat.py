@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from impressa.llm.shared import small_batches, trimmed
+from impressa.llm.tokens import broadcast_file
+from impressa.llm.tokens import count_tokens as tokens_of
 
 BUDGET = 512
 HISTORY = 128
@@ -59,18 +61,12 @@ def count_tokens(turns: DataFrame, tokenizer: str | None) -> DataFrame:
         words = F.regexp_count(F.col("text"), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"))
         return turns.withColumn("n", words.cast("long"))
 
+    raw = broadcast_file(turns.sparkSession, tokenizer)
+
     @trimmed
     def run(batches):
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n = []
-            for at in range(0, len(texts), 256):
-                n += [len(e) for e in t.encode_batch_fast(texts[at : at + 256], add_special_tokens=False)]
-            yield batch.append_column("n", pa.array(n, pa.int64()))
+            yield batch.append_column("n", pa.array(tokens_of(batch.column("text"), raw.value)))
 
     return turns.mapInArrow(run, "conv_id long, turn long, role string, text string, n long")
 

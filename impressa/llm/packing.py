@@ -13,31 +13,26 @@ by the hash of their document, numbered within (bucket, shard), and shifted by
 the count of the shards before.
 
 Null and empty texts give one piece of 0 tokens in the first bucket; ties are
-broken by doc_id and piece; repeated doc_ids are kept as separate pieces; an
-empty table gives no rows.
+broken by doc_id and piece; repeated doc_ids are kept as separate pieces, which
+share their numbers; a very long text is many pieces; further columns, whatever
+their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from impressa.llm.shared import cut, keyed, trimmed
+from impressa.llm.tokens import broadcast_file, count_tokens
 
 MAX_LEN = 2048
 N_BUCKETS = 8
 BUDGET = 16_384
 ROWS_PER_SHARD = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
-#: A byte-level BPE never joins what stands before a single space between two other characters with what follows.
-_SEAM = re.compile(r"(?<=\S) (?=\S)")
-_CACHED = 500_000
-_COUNTS: dict[str, dict[str, int]] = {}
 
 
 def token_count(text_col: str) -> Column:
@@ -46,33 +41,13 @@ def token_count(text_col: str) -> Column:
 
 
 def token_lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and length, the tokens of the text by a byte-level BPE file; a null text has none.
-
-    Texts are cut at single spaces, where no token crosses, and parts met before
-    are not encoded again.
-    """
+    """doc_id and length, the tokens of the whole text by a byte-level BPE file; a null text has none."""
+    raw = broadcast_file(docs.sparkSession, tokenizer)
 
     @trimmed
     def run(batches):
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
-        known = _COUNTS.setdefault(tokenizer, {})
-
-        def count(parts):
-            return [len(e) for e in t.encode_batch_fast(parts, add_special_tokens=False)]
-
         for batch in batches:
-            texts, n = batch.column("text").to_pylist(), []
-            for at in range(0, len(texts), 256):
-                parts = [_SEAM.sub("\0 ", x or "").split("\0") if "\0" not in (x or "") else [x] for x in texts[at : at + 256]]
-                new = [p for p in set(chain.from_iterable(parts)) if p not in known]
-                own = dict(zip(new, count(new), strict=True))
-                n += [sum(known[p] if p in known else own[p] for p in x) for x in parts]
-                if len(known) < _CACHED:
-                    known.update((p, c) for p, c in own.items() if len(p) <= 64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count_tokens(batch.column("text"), raw.value))], ["doc_id", "length"])
 
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, length long")
 

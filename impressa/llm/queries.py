@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impressa.llm import chat, decontaminate, embeddings, jaccard, kneser_ney, packing, quality, substrings, urls, warc
 from impressa.llm.shared import remainder
 
+#: The tokenizer file of op2 and op7, read on the driver.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
@@ -25,8 +24,7 @@ def op2_chat_formatting(spark, sf_dir):
     control = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    tokenizer = TOKENIZER if os.path.exists(TOKENIZER) else None
-    return chat.read_back(chat.windows(turns, tokenizer=tokenizer))
+    return chat.read_back(chat.windows(turns, tokenizer=TOKENIZER))
 
 
 def op3_url_filters(spark, sf_dir):
@@ -47,8 +45,6 @@ def op6_warc(spark, sf_dir):
 
 def op7_packing(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    if not os.path.exists(TOKENIZER):
-        return packing.pack(docs)
     return packing.pack(packing.token_lengths(docs, TOKENIZER), length=F.col("length"))
 
 
