@@ -12,7 +12,10 @@ Statistics cover every whole text.  Only the fit reads a sample: at most
 
 Null and empty texts have zero statistics and are scored like any other; null
 labels and labels without a document are ignored; a document labelled twice
-counts twice; if only one class is labelled all scores equal its share.
+counts twice; rows that repeat a doc_id must repeat its text (one of them is
+fitted on, each is scored); a very long text is one row of statistics; if only
+one class is labelled all documents are scored alike; further columns, whatever
+their names, pass through keep_good and are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -112,15 +115,20 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _chosen(ids: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_labelled: int, folds: int = 5) -> DataFrame:
+    """(doc_id, y, h): the at most max_labelled usable labels outside fold 0, of documents that there are, with the smallest hash of their id."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(remainder("doc_id", folds) != 0)
+    return cut(known.join(ids, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "y").limit(max_labelled))
+
+
 def fit(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED, folds: int = 5) -> Ranker:
     """Learn from the labelled rows outside fold 0 of crc32(doc_id) mod ``folds``.
 
     Each of the sampled documents meets four of the other class: the pairs are
     drawn by position in the hash order, at most 4 * max_labelled of them.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(remainder("doc_id", folds) != 0)
-    sample = feats.join(known, "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "y").limit(max_labelled)
-    sample = cut(sample)
+    chosen = _chosen(feats.select("doc_id"), labels, id_col, label_col, max_labelled, folds)
+    sample = cut(feats.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id"))
     rows = sample.select("x", "y").toArrow()
     y = rows["y"].to_numpy()
     x = np.array(rows["x"].to_pylist()).reshape(-1, len(FEATURES))
@@ -188,10 +196,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     Statistics of the labelled documents are computed for the fit, and of all
     documents while filtering.
     """
-    usable = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").where(remainder("_id", 5) != 0)
-    some = usable.select("_id").distinct().join(docs.select(F.col(id_col).cast("long").alias("_id")), "_id", "left_semi")
-    some = some.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-    ranker = fit(cut(features(docs.join(F.broadcast(some), F.col(id_col).cast("long") == F.col("_id"), "left_semi"), id_col, text_col)), labels, id_col, label_col, max_labelled)
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    some = _chosen(own.select("doc_id"), labels, id_col, label_col, max_labelled).select("doc_id").distinct()
+    ranker = fit(cut(features(own.join(F.broadcast(some), "doc_id", "left_semi"))), labels, id_col, label_col, max_labelled)
 
     @trimmed
     def run(batches):
