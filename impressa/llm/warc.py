@@ -32,10 +32,11 @@ import zlib
 from datetime import datetime, timezone
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impressa.llm.shared import shared_dir, small_batches, trimmed
+from impressa.llm.shared import cut, shared_dir, small_batches, trimmed
 
 CRLF = "\r\n"
 SEPARATOR = CRLF + CRLF
@@ -50,6 +51,11 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _number(text: str | None) -> int | None:
+    """A page number, or null for what archives from elsewhere may say there."""
+    return int(text) if re.fullmatch(r"\s*-?\d{1,18}\s*", text or "", re.ASCII) else None
+
+
 def _quote(url: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "") or "-"
 
@@ -80,11 +86,12 @@ def arc_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     @trimmed
     def run(batches):
+        part = n = TaskContext.get().partitionId()
         for batch in batches:
-            n, arc, out = 0, None, []
+            arc = None
             for i, u, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 if arc is None:
-                    arc = ArcWriter(f"pages-{i}-{n}.arc", 1 + n % 2)
+                    arc = ArcWriter(f"pages-{part}-{n}.arc", 1 + n % 2)
                     n += 1
                 document = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: %s\r\n\r\n" % str("" if i is None else i).encode() + (h or "").encode()
                 arc.add(_quote(u), "127.0.0.1", "text/html", document)
@@ -168,8 +175,8 @@ def arc_to_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
                         head, payload = b"HTTP/1.0 200 OK", document
                     page = None
                     for line in head.decode("latin-1").split(CRLF)[1:]:
-                        if line.lower().startswith("x-page-id:") and line[10:].strip():
-                            page = int(line[10:])
+                        if line.lower().startswith("x-page-id:"):
+                            page = _number(line[10:])
                     try:
                         when = datetime.strptime(date[:14].ljust(14, "0"), "%Y%m%d%H%M%S").replace(tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
                     except ValueError:
@@ -197,7 +204,7 @@ def warc_records(archives: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     largest page_id is the response.  Digests are grouped first (a row per
     digest and task is shuffled); payloads move once, by page.
     """
-    keys = arc_to_records(archives, payloads=False).where("error is null and page_id is not null")
+    keys = cut(arc_to_records(archives, payloads=False).where("error is null and page_id is not null").select("page_id", "digest", "payload_bytes", "record_id", "date", "url"))
     chosen = keys.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("digest", "payload_bytes").agg(F.max_by(F.struct("page_id", "record_id", "date", "url"), F.struct("page_id", "record_id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     records = arc_to_records(archives).where("error is null")
     known = chosen.select(F.col("digest").alias("_d"), F.col("payload_bytes").alias("_n"), "first")
@@ -259,7 +266,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     stated = h["warc-payload-digest"].removeprefix("sha1:")
                     digest = _digest(payload) if own else stated
                     refers = h.get("x-refers-to-page-id")
-                    rows.append((int(page) if page else None, len(payload) if own else int(h["x-payload-length"]), digest, h["warc-type"], int(refers) if refers else None, h["warc-record-id"], h["warc-date"], h["warc-target-uri"], digest == stated))
+                    rows.append((_number(page), len(payload) if own else int(h["x-payload-length"]), digest, h["warc-type"], _number(refers), h["warc-record-id"], h["warc-date"], h["warc-target-uri"], digest == stated))
                 cols = list(zip(*rows, strict=True)) or [[]] * 9
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date", "url", "digest_ok"])
