@@ -12,13 +12,20 @@ double precision.
 Exact copies are joined once, weighted by their number.  Pairs are never
 emitted: a block pair returns a link count and one spanning edge per vector.
 
-Null or zero vectors, and those with null or non-finite components or another
-length than most, link with nothing and keep n_links 0; an empty table gives no
-rows; repeated vec_ids are rows of their own with a common component.
+Block pairs are dealt in tiles of neighbouring blocks: a tile is sent each of
+its blocks once, however many of its pairs survive.
+
+Vectors of different lengths never link; each length is joined by itself.  Null
+or zero vectors and those with null or non-finite components link with nothing
+and keep n_links 0, as do rows with a null vec_id, which keep a null component;
+an empty table gives no rows; repeated vec_ids are rows of their own with a
+common component; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
@@ -33,6 +40,7 @@ COSINE = 0.95
 BLOCK = 1024
 LEADING = 8
 FANOUT = 8
+TILE = 8  # blocks of a side
 _BLOCKS = "part int, seq int, lo array<double>, hi array<double>, ids array<long>, weights array<long>, data binary"
 
 
@@ -41,8 +49,8 @@ def _valid(v):
     return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
-def _blocks(rows: DataFrame, directions: np.ndarray, eps: float, size: int) -> DataFrame:
-    """Sorted blocks of the epsilon grid order: bounding box, ids, weights and float32 vectors."""
+def _blocks(rows: DataFrame, directions: np.ndarray, eps: float, size: int, kind) -> DataFrame:
+    """Sorted blocks of the epsilon grid order: bounding box, ids, weights and vectors."""
     k = directions.shape[1]
 
     @trimmed
@@ -60,7 +68,7 @@ def _blocks(rows: DataFrame, directions: np.ndarray, eps: float, size: int) -> D
 
         def emit(table):
             y = np.array(table.column("y").to_pylist()).reshape(table.num_rows, k)
-            data = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            data = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([y.min(0)], pa.list_(pa.float64())), pa.array([y.max(0)], pa.list_(pa.float64())), pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())), pa.array([table.column("n").to_pylist()], pa.list_(pa.int64())), pa.array([data.tobytes()])],
                 ["part", "seq", "lo", "hi", "ids", "weights", "data"])
@@ -76,7 +84,7 @@ def _blocks(rows: DataFrame, directions: np.ndarray, eps: float, size: int) -> D
         if n:
             yield emit(pa.Table.from_batches(held))
 
-    projected = rows.mapInArrow(project, "embedding array<float>, rep long, n long, cells array<int>, y array<double>")
+    projected = rows.mapInArrow(project, f"embedding {rows.schema['embedding'].dataType.simpleString()}, rep long, n long, cells array<int>, y array<double>")
     return projected.repartitionByRange(*[F.element_at("cells", i + 1) for i in range(k)], "rep").sortWithinPartitions("cells", "rep").mapInArrow(block, _BLOCKS)
 
 
@@ -134,48 +142,67 @@ def _links(a, b, same: bool, cosine: float):
     return np.concatenate([ia[on_a], ib[on_b]]), np.concatenate([na[on_a], nb[on_b]]), np.concatenate([la, lb])
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, block: int = BLOCK, leading: int = LEADING) -> DataFrame:
-    """Per vector: vec_id, n_links, component_id, kept."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("embedding"))
-    rows = rows.withColumn("ok", F.coalesce(_valid(F.col("embedding")), F.lit(False)))
-    size = rows.where("ok").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+def _same_length(groups: DataFrame, dim: int, kind, cosine: float, block: int, leading: int) -> DataFrame:
+    """(embedding, links, component) of distinct vectors of one length, each with its smallest id and number of copies."""
+    spark = groups.sparkSession
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)) * (1 + 1e-6) + 1e-9)
-    if size is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = size.d
-    rows = rows.withColumn("embedding", F.when(F.col("ok") & (F.size("embedding") == dim), F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))))
-    groups = cut(rows.where("embedding is not null and vec_id is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    k = min(leading, dim)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
     unit = groups.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double") / norm)).alias("v"))
-    directions = PCA(k=k, inputCol="v", outputCol="p").fit(unit).pc.toArray()
+    directions = PCA(k=min(leading, dim), inputCol="v", outputCol="p").fit(unit).pc.toArray()
 
-    made = cut(_blocks(groups, directions, eps, block))
+    made = cut(_blocks(groups, directions, eps, block, kind))
     order = Window.orderBy("part", "seq")  # of the blocks' numbers only: one row per BLOCK vectors
     numbers = cut(made.select("part", "seq").select("part", "seq", (F.row_number().over(order) - 1).cast("long").alias("block")))
     blocks = made.join(numbers, ["part", "seq"])
     pairs = _block_pairs(blocks.select("block", "lo", "hi"), eps)
-    sides = blocks.select("block", "ids", "weights", "data")
-    both = pairs.join(sides.alias("a"), F.col("pa") == F.col("a.block")).select("pa", "pb", F.struct("a.ids", "a.weights", "a.data").alias("x"))
-    both = both.join(sides.alias("b"), F.col("pb") == F.col("b.block")).select("pa", "pb", "x", F.struct("b.ids", "b.weights", "b.data").alias("y"))
+    tiles = cut(pairs.groupBy(F.floor(F.col("pa") / TILE).alias("ta"), F.floor(F.col("pb") / TILE).alias("tb")).agg(F.collect_list(F.struct("pa", "pb")).alias("pairs")))
+    needs = tiles.select("ta", "tb", "pairs", F.explode(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["pa"], p["pb"]))))).alias("block"))
+    sent = needs.join(blocks.select("block", "ids", "weights", "data"), "block")
+    width = max(1, min(tiles.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     @trimmed
     def compare(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                sides = []
-                for side in ("x", "y"):
-                    s = batch.column(side)[i]
-                    v = np.frombuffer(s["data"].as_py(), np.float32).astype(np.float64).reshape(-1, dim)
-                    sides.append((v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None], s["ids"].values.to_numpy(), s["weights"].values.to_numpy()))
-                ids, counts, roots = _links(*sides, batch.column("pa")[i].as_py() == batch.column("pb")[i].as_py(), cosine)
+        for rows in _tiles(batches):
+            held = {}
+            for r in rows:
+                v = np.frombuffer(r["data"], kind).astype(np.float64).reshape(-1, dim)
+                held[r["block"]] = v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None], np.array(r["ids"]), np.array(r["weights"])
+            for p in rows[0]["pairs"]:
+                ids, counts, roots = _links(held[p["pa"]], held[p["pb"]], p["pa"] == p["pb"], cosine)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(roots, pa.int64())], ["rep", "links", "root"])
 
-    n_pairs = max(1, pairs.count())
-    found = cut(both.repartition(min(n_pairs, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "pa", "pb").mapInArrow(compare, "rep long, links long, root long"))
+    found = cut(sent.repartition(width, "ta", "tb").sortWithinPartitions("ta", "tb").select("ta", "tb", "block", "pairs", "ids", "weights", "data").mapInArrow(compare, "rep long, links long, root long"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found, "rep", "root")
-    per_group = groups.join(counts, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    key = per_group.withColumnRenamed("embedding", "_e")
+    return groups.join(counts, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+
+
+def _tiles(batches):
+    """Lists of the rows of one tile; rows come sorted by tile."""
+    held = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            if held and (row["ta"], row["tb"]) != (held[0]["ta"], held[0]["tb"]):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, block: int = BLOCK, leading: int = LEADING) -> DataFrame:
+    """Per vector: vec_id, n_links, component_id, kept."""
+    of = vectors.schema[vec_col].dataType.elementType.simpleString()
+    of, kind = ("float", np.float32) if of == "float" else ("double", np.float64)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{of}>").alias("embedding"))
+    ok = F.coalesce(_valid(F.col("embedding")), F.lit(False)) & F.col("vec_id").isNotNull()
+    # adding 0 makes one zero of both
+    rows = rows.withColumn("embedding", F.when(ok, F.transform("embedding", lambda x: x + F.lit(0.0).cast(of))))
+    groups = cut(rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    found = [_same_length(groups.where(F.size("embedding") == r.d), r.d, kind, cosine, block, leading) for r in groups.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
+    if not found:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    key = reduce(DataFrame.unionAll, found).withColumnRenamed("embedding", "_e")
     return rows.join(key, F.col("embedding") == F.col("_e"), "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
