@@ -127,9 +127,9 @@ def run_hash(h: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return mix(total + np.uint64(n))
 
 
-def documents_of(batch: pa.RecordBatch, text: str, table: np.ndarray):
-    """(first, last, Words) for each chunk of a batch."""
+def documents_of(batch: pa.RecordBatch, text: str, table: np.ndarray, size: int = CHUNK):
+    """(first, last, Words) for each chunk of about ``size`` bytes of a batch."""
     data, offsets = string_buffer(batch.column(text))
-    for first, last in chunks(offsets):
+    for first, last in chunks(offsets, size):
         own = offsets[first : last + 1]
         yield first, last, Words(data[own[0] : own[-1]], own - own[0], table)

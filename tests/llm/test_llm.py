@@ -157,7 +157,7 @@ def test_probabilities_sum_to_one(spark, prune):
     outcomes = ids[at]  # the three words, an unknown one and the end
     assert meta["words"] == 4
     for context in [*outcomes[:4], ids[0]]:
-        pairs = np.stack([np.full(5, context), outcomes], axis=1).astype(np.uint32).ravel()
+        pairs = np.stack([np.full(5, context), outcomes], axis=1).astype(ids.dtype).ravel()
         assert model.probability(pairs, np.arange(1, 10, 2)).sum() == pytest.approx(1)
 
 
