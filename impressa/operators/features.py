@@ -10,22 +10,48 @@ def popularity(train: DataFrame, item: str = "item_id", prior: float = 20.0) ->
     """Per item: n, positives, smoothed rate (positives + prior * mean) / (n + prior); and the mean."""
     if not 1 <= prior <= 200:
         raise ValueError("prior must lie in 1..200")
-    per = train.groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"))
-    mean = train.agg(F.avg("label").alias("mean"))
+    per = train.groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"), F.count("label").alias("_l"))
+    mean = per.agg((F.sum("positives") / F.sum("_l")).alias("mean"))  # of the counts, not of the rows again
     return per.crossJoin(F.broadcast(mean)).select(item, "n", "positives", ((F.col("positives") + prior * F.col("mean")) / (F.col("n") + prior)).alias("rate"), "mean")
 
 
-def popularity_scores(rows: DataFrame, train: DataFrame, item: str = "item_id", prior: float = 20.0) -> DataFrame:
-    """rows with score; an item that train lacks gets the train mean."""
-    per = popularity(train, item, prior).select(F.col(item).alias("_i"), "rate")
-    mean = train.agg(F.avg("label").alias("_mean"))
-    return rows.join(per, F.col(item) == F.col("_i"), "left").crossJoin(F.broadcast(mean)).withColumn("score", F.coalesce("rate", "_mean")).drop("_i", "rate", "_mean")
+def popularity_scores(rows: DataFrame, train: DataFrame, item: str = "item_id", prior: float = 20.0, exposures: str | None = None) -> DataFrame:
+    """rows with score; an item that train lacks gets the train mean.  ``exposures`` names a column for the train count."""
+    per = popularity(train, item, prior)
+    mean = per.agg(F.first("mean").alias("_mean"))
+    out = rows.join(per.select(F.col(item).alias("_i"), "rate", F.col("n").alias("_x")), F.col(item) == F.col("_i"), "left").crossJoin(F.broadcast(mean)).withColumn("score", F.coalesce("rate", "_mean"))
+    if exposures:
+        out = out.withColumn(exposures, F.coalesce("_x", F.lit(0)).cast("long"))
+    return out.drop("_i", "_x", "rate", "_mean")
+
+
+def placed(rows: DataFrame, key: str, ties: list[str], name: str, weight: str | None = None) -> DataFrame:
+    """rows with ``name``, the sum of the weights (or number) of the rows before each in the order of key and ties; nulls come first.
+
+    No task sees all rows: approximate quantiles of the numeric key cut the
+    order in pieces, and a piece starts from the sum of those before.
+    """
+    pieces = min(256, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(set(rows.agg(F.percentile_approx(F.col(key).cast("double"), [i / pieces for i in range(1, pieces)], F.lit(10_000)).alias("e")).first().e or []))
+    own = rows.withColumn("_piece", F.coalesce(bucket_left(F.col(key).cast("double"), cuts), F.lit(-1)))
+    w = F.lit(1) if weight is None else F.col(weight)
+    sums = own.groupBy("_piece").agg(F.sum(w).alias("_s"))
+    before = sums.select(F.col("_piece").alias("_q"), F.coalesce(F.sum("_s").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per piece
+    inside = F.coalesce(F.sum(w).over(Window.partitionBy("_piece").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.withColumn("_inside", inside).join(F.broadcast(before), F.col("_piece") == F.col("_q")).withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_piece", "_q", "_before", "_inside")
 
 
 def quantile_edges(train: DataFrame, column: str, bins: int) -> list[float]:
-    """Inner quantiles with linear interpolation (exact)."""
-    levels = [i / bins for i in range(1, bins)]
-    return list(train.agg(F.percentile(column, F.array(*[F.lit(x) for x in levels])).alias("e")).first().e or [])
+    """Inner quantiles with linear interpolation (exact): the two rows around each are looked up in the running count of the values."""
+    values = train.where(F.col(column).isNotNull() & ~F.isnan(column)).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    total = values.agg(F.sum("n").alias("t")).first().t or 0
+    if not total:
+        return []
+    spots = [i * (total - 1) / bins for i in range(1, bins)]
+    wanted = sorted({x for s in spots for x in (int(s), min(int(s) + 1, total - 1))})
+    at = placed(values, "v", [], "before", "n").withColumn("i", F.explode(F.filter(F.array(*[F.lit(x) for x in wanted]), lambda x: (x >= F.col("before")) & (x < F.col("before") + F.col("n")))))
+    found = {r.i: r.v for r in at.select("i", "v").collect()}  # two rows per level at most
+    return [found[int(s)] if s == int(s) else (int(s) + 1 - s) * found[int(s)] + (s - int(s)) * found[int(s) + 1] for s in spots]
 
 
 def bucket_left(value: Column, edges: list[float]) -> Column:
@@ -41,9 +67,26 @@ def bucket_right(value: Column, edges: list[float]) -> Column:
 
 
 def vocabulary(train: DataFrame, field: str, row_id: str = "row_id", first: int = 0) -> DataFrame:
-    """(value, code): dense codes in order of first occurrence.  The window runs over distinct values only."""
+    """(value, code): dense codes in order of first occurrence."""
     seen = train.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.min(row_id).alias("at"))
-    return seen.select("value", (F.row_number().over(Window.orderBy("at", "value")) - 1 + first).alias("code"))
+    return placed(seen, "at", ["value"], "code").select("value", (F.col("code") + first).cast("int").alias("code"))
+
+
+def auto_codes(rows: DataFrame, train: DataFrame, field: str, bins: int, row_id: str = "row_id") -> DataFrame:
+    """rows with code: a float field of more than ``bins`` train values by its train quantiles (1 and up), others by vocabulary from 1; 0 is unknown or missing."""
+    kind = train.schema[field].dataType.simpleString()
+    values = train.where(F.col(field).isNotNull() & ~F.isnan(field)) if kind in ("float", "double") else train
+    if kind in ("float", "double") and values.select(field).distinct().count() > bins:
+        return rows.withColumn("code", bucket_right(F.col(field), quantile_edges(train, field, bins)).cast("int"))
+    codes = vocabulary(values, field, row_id, 1).select(F.col("value").alias("_v"), F.col("code").alias("_c"))
+    return rows.join(codes, F.col(field) == F.col("_v"), "left").withColumn("code", F.coalesce("_c", F.lit(0)).cast("int")).drop("_v", "_c")
+
+
+def apply_target_encoding(rows: DataFrame, train: DataFrame, field: str, smoothing: float = 20.0) -> DataFrame:
+    """rows with encoding, learnt on all of train; a value that train lacks gets the train mean.  Keys are compared as text."""
+    table = target_encoding(train, field, smoothing).select(F.col("value").alias("_v"), F.col("encoding").alias("_e"))
+    mean = train.agg(F.avg("label").alias("_g"))
+    return rows.join(table, F.col(field).cast("string") == F.col("_v"), "left").crossJoin(F.broadcast(mean)).withColumn("encoding", F.coalesce("_e", "_g")).drop("_v", "_e", "_g")
 
 
 def encode(rows: DataFrame, train: DataFrame, fields: list[str], row_id: str = "row_id") -> DataFrame:
@@ -100,10 +143,13 @@ def category_fallback(rows: DataFrame, train: DataFrame, item: str, category: st
     cat is the mean item count over the train rows of frequent items (n >= k) of
     the category, over all rows if no item is frequent; absent categories get 0.
     """
-    counted = train.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(item)))
-    some = counted.agg(F.max("_n").alias("_m"))
+    # one pass over train: rows per category and item, then items
+    cells = train.groupBy(F.col(category).alias("_c"), F.col(item).alias("_i")).agg(F.count(F.lit(1)).alias("_r"))
+    counts = cells.groupBy(F.col("_i").alias("_j")).agg(F.sum("_r").alias("_n"))
+    counted = cells.join(counts, F.col("_i").eqNullSafe(F.col("_j")))
+    some = counts.agg(F.max("_n").alias("_m"))
     base = counted.crossJoin(F.broadcast(some)).where((F.col("_n") >= k) | (F.col("_m") < k))
-    cat = base.groupBy(F.col(category).alias("_c")).agg(F.avg("_n").alias("_mean"))
+    cat = base.groupBy("_c").agg((F.sum(F.col("_n") * F.col("_r")) / F.sum("_r")).alias("_mean"))
     out = frequency(rows, train, item).join(cat, F.col(category) == F.col("_c"), "left")
     b = 1 - F.least(F.lit(1.0), F.col("n") / k)
     return out.withColumn("blend", (1 - b) * F.col("n") + b * F.coalesce("_mean", F.lit(0.0))).drop("_c", "_mean")

@@ -136,31 +136,6 @@ def patch_merge(patches: DataFrame) -> DataFrame:
     return patches.where("ok").groupBy("path").agg(F.max_by("value", "seq").alias("value"))
 
 
-def symptom_rules(cards: DataFrame) -> DataFrame:
-    """Deterministic symptoms of scorecards: run, symptom.
-
-    Columns: run, train_primary, valid_primary, gauc, ndcg, distinct_scores, nonfinite, sd, seen_primary, unseen_primary.
-    """
-    gap = F.col("train_primary") - F.col("valid_primary")
-    rules = [("overfit", gap > 0.04), ("severe_overfit", gap > 0.15), ("constant_scores", F.col("distinct_scores") <= 1), ("bad_scores", F.col("nonfinite") > 0), ("unstable", F.col("sd") > 0.002), ("cold_users", F.col("seen_primary") - F.col("unseen_primary") > 0.03), ("underfit", F.col("train_primary") < 0.6)]
-    found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())
-    return cards.select("run", F.explode(found).alias("symptom"))
-
-
-def reflection_violations(r: DataFrame) -> DataFrame:
-    """(id, rule) for each consistency rule a reflection breaks.
-
-    Columns: id, effect, verdict, n_symptoms, delta_prior, gain, beats, targets, reported, resolved, before, after, promote, correct.
-    """
-    positive = F.col("verdict").isin("yes", "partly")
-    rules = [
-        ("no_effect_but_positive", ~F.col("effect") & positive), ("too_many_symptoms", F.col("n_symptoms") > 3), ("prior_step", F.abs("delta_prior") > 0.2), ("within_noise", positive & ~F.col("beats")),
-        ("targets_missing", F.size(F.array_except("targets", "reported")) > 0), ("resolved_unchanged", F.col("resolved") & (F.col("before") == F.col("after"))), ("no_gain", positive & (F.col("gain") <= 0)),
-        ("prior_sign", (positive & (F.col("delta_prior") < 0)) | ((F.col("verdict") == "no") & (F.col("delta_prior") > 0))), ("promote_incorrect", F.col("promote") & ~F.col("correct"))]
-    broken = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())
-    return r.select("id", F.explode(broken).alias("rule"))
-
-
 def budget_tier(used, total):
     """0 below 60 % of the budget, 1 from there, 2 from 85 %."""
     share = used / total

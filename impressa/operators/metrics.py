@@ -64,13 +64,16 @@ def exposure_bucket(n):
 def scorecard(scored: DataFrame, train: DataFrame, k: int = 5, min_rows: int = MIN_GROUP_ROWS) -> DataFrame:
     """All group metrics in one pass: by exposure bucket, seen user, date, and in total.
 
-    scored has row_id, user_id, item_id, date, label, score.  Each row is dealt
+    scored has row_id, user_id, item_id, date, label, score, and exposures if it
+    was counted with the scores.  Each row is dealt
     once per grouping; users are ranked within a group's own rows.  Groups under
     min_rows or with one label have no metrics.
     """
-    counts = train.groupBy(F.col("item_id").alias("_i")).agg(F.count(F.lit(1)).alias("exposures"))
+    if "exposures" not in scored.columns:
+        counts = train.groupBy(F.col("item_id").alias("_i")).agg(F.count(F.lit(1)).alias("exposures"))
+        scored = scored.join(counts, F.col("item_id") == F.col("_i"), "left")
     users = train.select(F.col("user_id").alias("_u")).distinct().withColumn("_seen", F.lit(True))
-    rows = scored.join(counts, F.col("item_id") == F.col("_i"), "left").join(users, F.col("user_id") == F.col("_u"), "left")
+    rows = scored.join(users, F.col("user_id") == F.col("_u"), "left")
     bucket = exposure_bucket(F.coalesce("exposures", F.lit(0)))
     seen = F.when(F.col("_seen"), "seen").otherwise("unseen")
     kinds = F.array(*[F.struct(F.lit(a).alias("dim"), b.cast("string").alias("grp")) for a, b in (("exposure", bucket), ("seen", seen), ("date", F.col("date")), ("all", F.lit("all")))])

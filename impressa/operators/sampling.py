@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from impressa.operators.features import placed
+
 #: Train fractions of the fidelity ladder.
 FIDELITY = {"smoke": 0.02, "low": 0.15, "medium": 0.40, "high": 0.75, "full": 1.0}
 
 
-def stratified(rows: DataFrame, fraction: float, order: Column | str, stratum: str = "label", buckets: int = 256) -> DataFrame:
-    """Exactly max(1, round half even(n * fraction)) rows of each stratum, the first in ``order`` (numeric; ties taken in any order).
+def stratified(rows: DataFrame, fraction: float, order: Column | str, stratum: str = "label", buckets: int = 64) -> DataFrame:
+    """Exactly max(1, round half even(n * fraction)) rows of each stratum, the first in ``order`` (numeric; ties by the other columns).
 
     No task sees a whole stratum: approximate quantiles cut the order into
     buckets, bucket counts tell how many rows each gives, and only the bucket
@@ -26,7 +28,7 @@ def stratified(rows: DataFrame, fraction: float, order: Column | str, stratum: s
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     take = sizes.withColumn("_left", F.col("_m") - before).where("_left > 0").select(F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), "_left", (F.col("_left") >= F.col("_n")).alias("_whole"))
     chosen = placed.join(F.broadcast(take), F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2")))
-    part = chosen.where(~F.col("_whole")).withColumn("_p", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_k"))).where("_p <= _left")
+    part = chosen.where(~F.col("_whole")).withColumn("_p", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_k", *rows.columns))).where("_p <= _left")
     return chosen.where("_whole").select(rows.columns).unionByName(part.select(rows.columns))
 
 
@@ -35,11 +37,9 @@ def hash_order(seed: int, *cols: str) -> Column:
 
 
 def whole_users(rows: DataFrame, max_rows: int, order: Column, user: str = "user_id") -> DataFrame:
-    """Users taken whole in ``order`` until max_rows is reached.  The running sum is over users, not rows."""
+    """Users taken whole in ``order`` (numeric) until max_rows is reached.  The running sum is over users, not rows."""
     counts = rows.groupBy(user).agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", order)
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_o", user).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = counts.withColumn("_b", before).where(F.col("_b") < max_rows).select(user)
-    return rows.join(chosen, user, "left_semi")
+    return rows.join(placed(counts, "_o", [user], "_b", "_n").where(F.col("_b") < max_rows).select(user), user, "left_semi")
 
 
 def in_holdout(user: Column, fraction: float) -> Column:

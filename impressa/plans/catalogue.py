@@ -106,8 +106,8 @@ select dim, grp, coalesce(n_rows, 0) as n_rows, coalesce(positives, 0) as positi
 
 def _card(dim):
     def f(spark, d):
-        scored, train = _scored(spark, d)
-        return metrics.scorecard(scored, train).where(F.col("dim") == dim)
+        train, valid = _parts(spark, d)
+        return metrics.scorecard(features.popularity_scores(valid, train, exposures="exposures"), train).where(F.col("dim") == dim)
 
     return f
 
@@ -118,8 +118,8 @@ for _name, _dim in (("exposure_bucket_metrics", "exposure"), ("seen_user_metrics
 
 @query(_CARD)
 def scorecard(spark, d):
-    scored, train = _scored(spark, d)
-    return metrics.scorecard(scored, train)
+    train, valid = _parts(spark, d)
+    return metrics.scorecard(features.popularity_scores(valid, train, exposures="exposures"), train)
 
 
 @query(f"with {IMP} select count(*) as pred_rows, cast(0 as bigint) as nonfinite, min(score) as min_score, max(score) as max_score, count(distinct score) as distinct_scores from scored")
@@ -427,17 +427,6 @@ def beats_noise(spark, d):
     return ledger.beats_noise(_values(spark, _DELTAS, "run, metric, gain"), ledger.noise_bands(_values(spark, _RUNS, "metric, value")))
 
 
-_STATES = "('a', 0.9e0, 0.7e0, 0.7e0, 0.7e0, 50, 0, 0.001e0, 0.7e0, 0.69e0), ('b', 0.55e0, 0.54e0, 0.5e0, 0.5e0, 1, 3, 0.004e0, 0.6e0, 0.5e0)"
-_STATE_NAMES = "run, train_primary, valid_primary, gauc, ndcg, distinct_scores, nonfinite, sd, seen_primary, unseen_primary"
-
-
-@query(f"""select run, unnest(list_filter([case when train_primary - valid_primary > 0.04 then 'overfit' end, case when train_primary - valid_primary > 0.15 then 'severe_overfit' end, case when distinct_scores <= 1 then 'constant_scores' end,
-    case when nonfinite > 0 then 'bad_scores' end, case when sd > 0.002 then 'unstable' end, case when seen_primary - unseen_primary > 0.03 then 'cold_users' end, case when train_primary < 0.6 then 'underfit' end], lambda x: x is not null)) as symptom
-from (values {_STATES}) t({_STATE_NAMES})""")
-def symptom_rules(spark, d):
-    return ledger.symptom_rules(_values(spark, _STATES, _STATE_NAMES))
-
-
 _PATCHES = "('a.b', '1', 1, true), ('a.b', '2', 2, true), ('a.c', 'x', 1, true), ('a.b', '9', 3, false), ('d', 'q', 4, true)"
 
 
@@ -446,18 +435,6 @@ def patch_merge(spark, d):
     return ledger.patch_merge(_values(spark, _PATCHES, "path, value, seq, ok"))
 
 
-_REFLECT = "(1, false, 'yes', 2, 0.1e0, 0.01e0, true, 'a', 'a', false, 1e0, 2e0, false, true), (2, true, 'no', 4, 0.3e0, -0.01e0, false, 'a,b', 'a', true, 1e0, 1e0, true, false)"
-
-
-@query(f"""with t as (select *, verdict in ('yes', 'partly') as pos from (values {_REFLECT}) t(id, effect, verdict, n_symptoms, delta_prior, gain, beats, targets, reported, resolved, v0, v1, promote, correct))
-select id, unnest(list_filter([case when not effect and pos then 'no_effect_but_positive' end, case when n_symptoms > 3 then 'too_many_symptoms' end, case when abs(delta_prior) > 0.2 then 'prior_step' end, case when pos and not beats then 'within_noise' end,
-    case when len(list_filter(string_split(targets, ','), lambda x: not list_contains(string_split(reported, ','), x))) > 0 then 'targets_missing' end, case when resolved and v0 = v1 then 'resolved_unchanged' end, case when pos and gain <= 0 then 'no_gain' end,
-    case when (pos and delta_prior < 0) or (verdict = 'no' and delta_prior > 0) then 'prior_sign' end, case when promote and not correct then 'promote_incorrect' end], lambda x: x is not null)) as rule from t""")
-def reflection_violations(spark, d):
-    r = _values(spark, _REFLECT, "id, effect, verdict, n_symptoms, delta_prior, gain, beats, targets, reported, resolved, `before`, `after`, promote, correct")
-    return ledger.reflection_violations(r.withColumns({c: F.split(c, ",") for c in ("targets", "reported")}))
-
-
 @query(f"with {IMP}, l as (select 'x' as run, date, avg(label) as score from imp group by date) select run, bool_and(coalesce(d, true)) and count(*) > 1 as falls from (select run, lag(score) over (order by date) > score as d from l) group by run")
 def monotone_by_date(spark, d):
     per = _imp(spark, d).groupBy("date").agg(F.avg("label").alias("score")).withColumn("run", F.lit("x"))
