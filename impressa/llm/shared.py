@@ -25,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder."""
     shared_dir(df.sparkSession)
