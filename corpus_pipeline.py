@@ -1,7 +1,14 @@
 """Training-data pipeline: quality, near duplicates, repeated passages, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
-kept.  All but the last return the columns of documents.
+kept.  All but the last return the columns of documents, whatever further
+columns there are.
+
+Null and empty texts are documents: they are scored, link with nothing, lose
+nothing, hold no benchmark words and are packed as one piece of no tokens.  A
+null doc_id passes every stage but is never the kept one of a group.  Rows that
+repeat a doc_id must repeat its text; they stay or go together.  Very long
+texts are handled whole.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impressa.llm import decontaminate, jaccard, packing, quality, substrings
-from impressa.llm.shared import shared_dir
+from impressa.llm.shared import remove_dir, shared_dir
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each result is written to the shared folder and read by the next."""
+    """All stages on documents; each result is written to the shared folder, read by the next and then removed; the last one stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            remove_dir(spark, f"{base}/{k - 1}")
     return docs
