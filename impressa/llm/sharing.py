@@ -22,7 +22,8 @@ from impressa.llm.text import mix
 
 #: (document frequency, bits of the bitmap)
 THRESHOLDS = ((2, 27), (16, 25), (128, 23), (1024, 21))
-_PART_BITS = 8
+_PART_BITS = 8  # of a range of keys, at least; more with more shuffle partitions
+_BITS_PER_KEY = 4  # bits of a slice for each key that may set one
 _HELD = 2_000_000
 ID_BITS = 26
 
@@ -38,17 +39,20 @@ def levels_of(levels: list, keys: np.ndarray) -> np.ndarray:
     return level
 
 
-def _levels(thresholds, slices) -> list:
+def _levels(thresholds, slices, part_bits: int) -> list:
     levels = [(b, np.zeros(1 << (b - 3), np.uint8)) for _, b in thresholds]
     for part, level, data in slices:
         bits, known = levels[level]
-        size = 1 << (bits - 3 - _PART_BITS)
+        size = 1 << (bits - 3 - part_bits)
         known[part * size : (part + 1) * size] = np.frombuffer(data, np.uint8)
     return levels
 
 
 def frequency_levels(rows: DataFrame, keys_of, thresholds=THRESHOLDS):
     """Broadcast levels (see :func:`levels_of`) over the keys that ``keys_of(batch)`` yields as (document number in the batch, keys)."""
+    spark = rows.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part_bits = min(max(_PART_BITS, (width - 1).bit_length()), min(b for _, b in thresholds) - 3)
 
     @trimmed
     def send(batches):
@@ -60,7 +64,7 @@ def frequency_levels(rows: DataFrame, keys_of, thresholds=THRESHOLDS):
             first = np.flatnonzero(np.concatenate(([True], high[1:] != high[:-1])))
             count = np.diff(np.append(first, len(high)))
             high = high[first]
-            cut = np.searchsorted(high >> np.uint32(32 - _PART_BITS), np.arange((1 << _PART_BITS) + 1))
+            cut = np.searchsorted(high >> np.uint32(32 - part_bits), np.arange((1 << part_bits) + 1))
             parts = np.flatnonzero(np.diff(cut))
             one, many, counts = [], [], []
             for p in parts:
@@ -95,20 +99,20 @@ def frequency_levels(rows: DataFrame, keys_of, thresholds=THRESHOLDS):
             keys, counts = keys[order], counts[order]
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             df, keys = np.add.reduceat(counts, first), keys[first].astype(np.int64)
-            levels, slices = [], []
+            levels, slices, total = [], [], int(df.sum())
             for i, (least, bits) in enumerate(thresholds):
-                size = 1 << (bits - _PART_BITS)
+                size = 1 << (bits - part_bits)
                 on = np.zeros(size, np.uint8)
+                if i:
+                    least = max(least, -(-_BITS_PER_KEY * total // size))
                 on[(keys[df >= least] >> (32 - bits)) - p * size] = 1
                 levels.append(i)
                 slices.append(np.packbits(on, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([p] * len(levels), pa.int32()), pa.array(levels, pa.int32()), pa.array(slices, pa.binary())], ["part", "level", "bits"])
 
-    spark = rows.sparkSession
-    width = min(1 << _PART_BITS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = rows.mapInArrow(send, "part int, one binary, many binary, counts binary").repartition(width, "part")
+    sent = rows.mapInArrow(send, "part int, one binary, many binary, counts binary").repartition(min(1 << part_bits, width), "part")
     slices = sent.mapInArrow(add, "part int, level int, bits binary").toArrow()
-    return spark.sparkContext.broadcast(_levels(thresholds, zip(*(slices.column(i).to_pylist() for i in range(3)), strict=True)))
+    return spark.sparkContext.broadcast(_levels(thresholds, zip(*(slices.column(i).to_pylist() for i in range(3)), strict=True), part_bits))
 
 
 def id_bitmap(ids: DataFrame, bits: int = ID_BITS):
