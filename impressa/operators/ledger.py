@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 NOISE_FLOOR = 0.0005
 
 
-def card_match(cards: DataFrame, findings: DataFrame, limit: int = 5) -> DataFrame:
-    """Cards (id, treats, prior, ord) by summed severity of the findings (symptom, severity) they treat, then prior, then ord."""
+def card_match(cards: DataFrame, findings: DataFrame, limit: int = 5, exclude: DataFrame | None = None) -> DataFrame:
+    """Cards (id, treats, prior, ord) by summed severity of the findings (symptom, severity) they treat, then prior, then ord; none of ``exclude`` (id)."""
+    if exclude is not None:
+        cards = cards.join(exclude.select("id"), "id", "left_anti")
     hit = cards.select("id", "prior", "ord", F.explode("treats").alias("symptom")).join(findings, "symptom")
     out = hit.groupBy("id", "prior", "ord").agg(F.sum(F.coalesce("severity", F.lit(1.0))).alias("severity"))
     return out.orderBy(F.desc("severity"), F.desc("prior"), "ord").limit(limit).select("id", "severity", "prior")

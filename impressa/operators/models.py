@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from impressa.operators import features, metrics
+
 
 class FeatureOp(Protocol):
     """Feature plug-in: fit on train only; transform never sees the label."""
@@ -33,6 +35,19 @@ def transform_without_label(op: FeatureOp, rows: DataFrame, row_id: str = "row_i
     return out.join(rows.select(row_id, "label"), row_id)
 
 
+class FrequencyOp:
+    """The train count of a field's value, as a feature plug-in."""
+
+    def __init__(self, field: str):
+        self.field, self.train = field, None
+
+    def fit(self, train: DataFrame) -> None:
+        self.train = train.select(self.field)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return features.frequency(rows, self.train, self.field)
+
+
 def fm_scores(rows: DataFrame, fields: list[str], parameters: DataFrame, bias: float, row_id: str = "row_id") -> DataFrame:
     """row_id, score = bias + sum w + (|sum v|^2 - sum |v|^2) / 2 over the row's field values.
 
@@ -57,9 +72,31 @@ class FMTrainer:
         return encoder, VectorAssembler(inputCols=[f"{f}_v" for f in self.fields], outputCol="features")
 
     def fit(self, train: DataFrame, valid: DataFrame | None, seed: int, config: dict):
+        """The state after ``epochs``; with valid (coded, with user_id and row_id), the state of best primary on it.
+
+        Spark's fit cannot be resumed, so states are taken at epochs / 1, 2, 4...
+        from the smallest on, which costs less than two full fits in all; it
+        stops after ``patience`` states without a gain.
+        """
         encoder, assembler = self._pipeline(train)
-        fm = FMClassifier(factorSize=config.get("factors", 8), maxIter=config.get("epochs", 20), stepSize=config.get("lr", 0.05), regParam=config.get("l2", 1e-5), seed=seed)
-        return encoder, assembler, fm.fit(assembler.transform(encoder.transform(train)))
+        rows = assembler.transform(encoder.transform(train))
+        steps = [config.get("epochs", 20)]
+        while valid is not None and steps[0] > 1:
+            steps.insert(0, steps[0] // 2)
+        best, top, since = None, None, 0
+        for epochs in steps:
+            fm = FMClassifier(factorSize=config.get("factors", 8), maxIter=epochs, stepSize=config.get("lr", 0.05), regParam=config.get("l2", 1e-5), seed=seed)
+            model = encoder, assembler, fm.fit(rows)
+            if valid is None:
+                return model
+            primary = metrics.ranking_metrics(self.predict(model, valid)).first().primary_score
+            if best is None or primary > top:
+                best, top, since = model, primary, 0
+            else:
+                since += 1
+                if since >= config.get("patience", 2):
+                    break
+        return best
 
     def predict(self, model, rows: DataFrame) -> DataFrame:
         encoder, assembler, fm = model

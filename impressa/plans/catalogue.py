@@ -275,15 +275,40 @@ def fm_scores(spark, d):
 
 @query()
 def fm_trained_metrics(spark, d):
-    """Spark's factorisation machine on coded fields; metrics on the valid split."""
+    """Spark's factorisation machine on coded fields, stopped early on the valid split; metrics there."""
     train, valid = _parts(spark, d)
     fields = ["user_id", "item_id"]
     coded = features.encode(train, train, fields), features.encode(valid, train, fields)
     t = models.FMTrainer([f"{f}_code" for f in fields])
-    model = t.fit(coded[0], None, 0, {"epochs": 10})
+    model = t.fit(coded[0], coded[1], 0, {"epochs": 10})
     return metrics.ranking_metrics(t.predict(model, coded[1]))
 
 
+@query(f"with {IMP} select row_id, label, coalesce(n, 0) as n from valid left join pop using (item_id)")
+def label_blind_feature(spark, d):
+    """A feature plug-in that never sees the labels of the rows it transforms."""
+    train, valid = _parts(spark, d)
+    op = models.FrequencyOp("item_id")
+    op.fit(train)
+    return models.transform_without_label(op, valid).select("row_id", "label", "n")
+
+
+@query(f"""with {IMP}, v as (select item_id, row_number() over (order by min(row_id), item_id) - 1 as code from train group by item_id)
+select row_id, split, case when split <> 'test' then label end as label, coalesce(v.code, (select count(*) from v)) as item_id_code from imp left join v using (item_id)""")
+def masked_split_codes(spark, d):
+    """All splits coded by the train vocabulary; labels of the hidden split are null."""
+    imp = impressions.hide_labels(_imp(spark, d))
+    return features.encode(imp, imp.where("split = 'train'"), ["item_id"]).select("row_id", "split", "label", "item_id_code")
+
+
+@query(f"with {IMP} select row_id, cast(user_id as varchar) as user_id, item_id as video_id, cast(format('{{:.6g}}', score) as double) as score from scored")
+def submission_round_trip(spark, d):
+    """Scores written as a submission and read back checked."""
+    path = f"{ledgers.shared_folder(spark)}/submission-{uuid.uuid4().hex}"
+    predictions.write_submission(_scored(spark, d)[0].withColumnRenamed("item_id", "video_id"), path)
+    return predictions.read_submission(spark, path)
+
+
 # ledgers: both engines read the same literals
 
 
@@ -322,6 +347,13 @@ def card_match(spark, d):
     return ledger.card_match(_cards(spark), _values(spark, _FOUND, "symptom, severity"))
 
 
+@query(f"""with c as (select id, prior, ord, unnest(string_split(treats, ',')) as symptom from (values {_CARDS}) t(id, treats, prior, ord) where id not in (select id from (values {_CARDS}) t(id, treats, prior, ord) where ord % 4 = 1)), f as (select * from (values {_FOUND}) t(symptom, severity))
+select id, sum(coalesce(severity, 1e0)) as severity, prior from c join f using (symptom) group by id, prior, ord order by severity desc, prior desc, ord limit 5""")
+def card_match_excluding(spark, d):
+    """Cards that were applied or blocked are left out."""
+    return ledger.card_match(_cards(spark), _values(spark, _FOUND, "symptom, severity"), exclude=_cards(spark).where("ord % 4 = 1"))
+
+
 @query(f"select id from (values {_SYMPTOMS}) t(id, treatable) where treatable and id not in (select unnest(string_split(treats, ',')) from (values {_CARDS}) t(id, treats, prior, ord))")
 def uncovered_symptoms(spark, d):
     return ledger.uncovered(_values(spark, _SYMPTOMS, "id, treatable"), _cards(spark))

@@ -2,9 +2,32 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from impressa.sources.ledgers import EVENT_SCHEMA, append_jsonl
+
+#: The fields that an event may have.
+EVENT_FIELDS = tuple(field.split(" ")[0] for field in EVENT_SCHEMA.split(", "))
+
+
+def emit(events: DataFrame, folder: str | None) -> bool:
+    """Append events, without fields that are not listed; was it written?  No folder writes nothing.
+
+    A log is only watched: if it cannot be written, that is logged and the
+    caller goes on.
+    """
+    if not folder:
+        return False
+    try:
+        append_jsonl(events.select(*[c for c in events.columns if c in EVENT_FIELDS]), folder)
+    except Exception:  # whatever is wrong with the log's storage
+        logging.getLogger(__name__).warning("events were not written to %s", folder, exc_info=True)
+        return False
+    return True
+
 
 def tail(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100) -> DataFrame:
     """Events as they are added; the checkpoint of the query that reads them is the offset."""
