@@ -36,6 +36,11 @@ def hash_order(seed: int, *cols: str) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+def uniform(seed: int, key: Column) -> Column:
+    """A number in [0, 1) from the md5 of seed and key: the same in every engine and partitioning."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def whole_users(rows: DataFrame, max_rows: int, order: Column, user: str = "user_id") -> DataFrame:
     """Users taken whole in ``order`` (numeric) until max_rows is reached.  The running sum is over users, not rows."""
     counts = rows.groupBy(user).agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", order)

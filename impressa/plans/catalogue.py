@@ -212,7 +212,13 @@ def whole_user_sample(spark, d):
     return sampling.whole_users(_parts(spark, d)[0], 2000, F.col("user_id")).select("row_id", "user_id")
 
 
-@query()
+#: CRC-32 of a text of one-byte characters, bit by bit; 3988292384 is its reversed polynomial.
+_CRC32 = """xor(list_reduce(list_transform(string_split({text}, ''), lambda s: cast(ascii(s) as bigint)),
+    lambda c, b: list_reduce(range(0, 8), lambda k, z: xor(k >> 1, 3988292384 * (k & 1)), xor(c, b)), cast(4294967295 as bigint)), 4294967295)"""
+
+
+@query(f"""with {IMP}, h as (select user_id, {_CRC32.format(text="cast(user_id as varchar)")} % 10000 < 2000 as holdout from (select distinct user_id from valid))
+select row_id, user_id, holdout from valid join h using (user_id)""")
 def holdout_crc32(spark, d):
     valid = _parts(spark, d)[1]
     return valid.select("row_id", "user_id", sampling.in_holdout(F.col("user_id"), 0.2).alias("holdout"))
@@ -256,11 +262,11 @@ def logloss(spark, d):
     return metrics.logloss(_scored(spark, d)[0])
 
 
-@query()
+@query(f"""with {IMP}, l as (select * exclude (score), cast('0x' || substring(md5('7:' || row_id), 1, 8) as bigint) / 4294967296e0 as score from scored), {USER.format(key='user_id', src='l')}
+select {TOTAL} from m""")
 def random_scores(spark, d):
     valid = _parts(spark, d)[1]
-    u = F.pmod(F.xxhash64(F.lit(7), "row_id"), F.lit(1 << 30)) / float(1 << 30)
-    return metrics.ranking_metrics(valid.withColumn("score", u))
+    return metrics.ranking_metrics(valid.withColumn("score", sampling.uniform(7, F.col("row_id"))))
 
 
 _PARAMS = "(values ('tab', 'view', 0.1e0, 0.2e0, 0.3e0), ('tab', 'click', -0.2e0, 0.1e0, 0.5e0), ('author_id', '3', 0.4e0, -0.3e0, 0.2e0), ('author_id', '7', 0.05e0, 0.6e0, -0.1e0)) as t(field, value, w, v1, v2)"
