@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impressa.llm import chat, decontaminate, embeddings, jaccard, kneser_ney, packing, quality, substrings, urls, warc
+from impressa.llm import chat, decontaminate, embeddings, jaccard, kneser_ney, maintext, manifest, packing, periods, quality, substrings, urls, warc
 from impressa.llm.shared import remainder
 
 #: The tokenizer file of op2 and op7, read on the driver.
@@ -63,9 +63,40 @@ def op10_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op11_html_extraction(spark, sf_dir):
+    return maintext.main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", periods.with_periodic_tail("text", F.crc32(F.col("doc_id").cast("string"))).alias("text"))
+    return periods.digests(periods.detect(planted))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = manifest.leaf(*(F.replace(c, F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in fields))
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    made = manifest.manifest(docs, fields, tampered=F.when(even & F.contains("text", F.lit("\n")), tampered))
+    folded = made.withColumn("folded_root", manifest.fold(F.col("path"), F.coalesce("tampered", "leaf")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_chat_formatting, op3_url_filters, op4_embedding_near_dedup, op5_suffix_array_dedup,
-    op6_warc, op7_packing, op8_lm_scoring, op9_benchmark_decontamination, op10_quality_classifier)}
+    op6_warc, op7_packing, op8_lm_scoring, op9_benchmark_decontamination, op10_quality_classifier,
+    op11_html_extraction, op12_periodic_runs, op13_merkle_manifest)}
+
+#: CRC-32 of a text of one-byte characters, bit by bit; 3988292384 is its reversed polynomial.
+_CRC32 = """xor(list_reduce(list_transform(string_split({text}, ''), lambda s: cast(ascii(s) as bigint)),
+    lambda c, b: list_reduce(range(0, 8), lambda k, z: xor(k >> 1, 3988292384 * (k & 1)), xor(c, b)), cast(4294967295 as bigint)), 4294967295)"""
+
+
+def _leaf_sql(*values: str) -> str:
+    """Digest of a row: each value - if null, else its byte count, a colon and the value."""
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(cast({v} as varchar))) || ':' || cast({v} as varchar), '-')" for v in values) + ")"
+
 
 _COMPONENTS = """
     walk(node, reach) as (
@@ -137,4 +168,39 @@ with d as materialized (
 select d.id as doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(items.n, 0) as bigint) as n_items,
     sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join words using (id) left join items using (id)""",
+    "op13_merkle_manifest": f"""
+with recursive d as materialized (
+    select doc_id, case when source is null then '' else '+' || source end as key, {_leaf_sql("doc_id", "source", "lang", "n_chars", "text")} as leaf,
+        case when {_CRC32.format(text="cast(doc_id as varchar)")} % 2 = 0 then {_leaf_sql("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')")} end as other from documents
+), placed as materialized (select *, row_number() over w - 1 as p, count(*) over (partition by key) as n from d window w as (partition by key order by doc_id nulls first, leaf)
+), up as (
+    select key, 0 as k, p, n, leaf as h from placed
+    union all
+    select key, k + 1, p // 3, max((n + 2) // 3), sha256(string_agg(h, '' order by p)) from up where n > 1 group by key, k, p // 3
+), made as materialized (select * from up
+), tops as materialized (select key, h as subroot, row_number() over (order by key) - 1 as p, count(*) over () as n from made where n = 1
+), up2 as (
+    select 0 as k, p, n, subroot as h from tops
+    union all
+    select k + 1, p // 3, max((n + 2) // 3), sha256(string_agg(h, '' order by p)) from up2 where n > 1 group by k, p // 3
+), made2 as materialized (select * from up2
+), beside as materialized (
+    select key, k, p, coalesce(lag(h, 2) over w, '') || coalesce(lag(h) over w, '') as l, coalesce(lead(h) over w, '') || coalesce(lead(h, 2) over w, '') as r
+    from made where n > 1 window w as (partition by key, k, p // 3 order by p)
+), beside2 as materialized (
+    select k, p, coalesce(lag(h, 2) over w, '') || coalesce(lag(h) over w, '') as l, coalesce(lead(h) over w, '') || coalesce(lead(h, 2) over w, '') as r
+    from made2 where n > 1 window w as (partition by k, p // 3 order by p)
+), steps as materialized (
+    select key, d.p, k, l, r from placed d join beside b using (key) where b.p = d.p // cast(pow(3, b.k) as bigint)
+    union all
+    select d.key, d.p, 1000 + k, l, r from placed d join tops t using (key) join beside2 b on b.p = t.p // cast(pow(3, b.k) as bigint)
+), numbered as materialized (select key, p, l, r, row_number() over (partition by key, p order by k) as i, count(*) over (partition by key, p) as m from steps
+), proofs as (select key, p, string_agg(l || r, '' order by i) as proof from numbered group by key, p
+), fold as (
+    select key, p, coalesce(other, leaf) as h, 0 as i from placed
+    union all
+    select f.key, f.p, sha256(s.l || f.h || s.r), s.i from fold f join numbered s on s.key = f.key and s.p = f.p and s.i = f.i + 1
+), folded as (select key, p, max_by(h, i) as folded_root from fold group by key, p)
+select doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) as proof_sha256, folded_root, folded_root = root as verified
+from placed join (select key, subroot from tops) using (key) join folded using (key, p) left join proofs using (key, p) cross join (select h as root from made2 where n = 1)""",
 }
