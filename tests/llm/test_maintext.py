@@ -27,13 +27,13 @@ def page(r, wrap):
     paragraphs = [sentence(r, r.choice([1, 2, 30, 60, 90])) for _ in range(r.randrange(3, 9))]
     paragraphs[1] = sentence(r, 70)
 
-    def beside():
-        return "".join(x.format(*(html.escape(sentence(r, r.choice([2, 40]))) for _ in range(3))) for x in r.sample(BESIDE, 4))
+    def beside(given=BESIDE):
+        return "".join(x.format(*(html.escape(sentence(r, r.choice([2, 40]))) for _ in range(3))) for x in r.sample(given, 4))
 
     body = ""
     for k, p in enumerate(paragraphs):
         text = html.escape(p).replace(" ", r.choice([" ", "\n ", "&#32;\t"]), 2)
-        body += (f"<h1>{text}</h1>" if k == 0 else r.choice([f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<div>{text}</div>"])) + (beside() if r.random() < 0.3 else "")
+        body += (f"<h1>{text}</h1>" if k == 0 else r.choice([f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<div>{text}</div>"])) + (beside([x for x in BESIDE if "header" not in x]) if r.random() < 0.3 else "")
     head = '<!DOCTYPE html><html><head><meta charset="utf-8"><title>T &amp; t</title></head><body class="with-sidebar">'
     return head + beside() + wrap.format(body) + beside() + "<footer>&copy; someone</footer></body></html>", "\n".join(paragraphs)
 
