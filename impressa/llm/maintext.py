@@ -209,7 +209,7 @@ def _region(tree: _Tree, elements: list[int], lengths: list[int], beside: list[b
     for e in range(len(whole) - 1, 0, -1):
         whole[tree.parent[e]] += whole[e]
     best = {name: max((e for e, n in enumerate(tree.name) if n == name and not beside[e]), key=lambda e: (whole[e], -e), default=0) for name in ("article", "main")}
-    marked = best["article"] if whole[best["article"]] * 2 >= whole[best["main"]] or not best["main"] else best["main"]
+    marked = best["article"] if best["article"] and whole[best["article"]] * 2 >= whole[best["main"]] else best["main"]
     if marked and whole[marked]:
         return marked, True
     direct: dict[int, int] = {}
