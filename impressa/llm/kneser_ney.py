@@ -15,11 +15,13 @@ read as needed.  The folder must be mounted on all machines; it is made under
 spark.checkpoint.dir.  Files are written under a name of their own and renamed,
 so a retried task does no harm.
 
-Words are told apart by 48 bits of their hash: of n distinct words about
-n * n / 2**49 share an id (none in the test tables, 30 of 130 million).  In the
-arrays an n-gram takes four bytes, a code for its count and 24 bits of its hash,
-beside those that its partition and bucket imply: an n-gram that was never seen
-is taken for a seen one about once in two million times.  Highest-order n-grams seen up to ``prune`` times
+Words are told apart by all 64 bits of their hash, in the arrays too: of n
+distinct words about n * n / 2**65 share an id (one pair of some six billion
+words).  An n-gram takes four bytes, a code for its count and 24 bits of its
+hash, beside those that its partition and bucket imply: an n-gram that was never
+seen is taken for a seen one about once in two million times.  The training job
+returns the names and sizes of the files; scoring fails if one is missing or
+cut short.  Highest-order n-grams seen up to ``prune`` times
 (0 or 1) are not stored: they count in every statistic, and their mass goes to
 the lower order.  The query stores all of them and takes trigrams.
 
@@ -51,7 +53,6 @@ SHARE = 0.05
 FREQUENT = 65_535
 _HELD = 2_500_000
 _SCORED_BYTES = 2_000_000
-_ID = np.uint64(0xFFFFFFFFFFFF0000)  # the bits of a word's hash that are its id
 _BEGIN, _END = np.uint64(1 << 16), np.uint64(2 << 16)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _COMMON = 255  # a code of one byte for each of so many frequent values; the last code marks the others
@@ -60,8 +61,7 @@ _OPEN: dict = {}
 
 def _tokens(w, order: int):
     """Word ids of a chunk with begin and end marks: (ids, positions of the tokens scored, their documents, their ids)."""
-    h = w.hash
-    h = np.maximum(h & _ID, np.uint64(3 << 16))
+    h = np.maximum(w.hash, np.uint64(3 << 16))
     lead = order - 1
     size = w.count + lead + 1
     base = np.concatenate(([0], np.cumsum(size)))
@@ -151,18 +151,16 @@ def _gram_row(level: int, part: int, columns, counts, meta: dict):
     others = np.concatenate([c[order][own == 0] for c, own in zip(columns, numbers, strict=True)])
     planes = numbers.view(np.uint8).reshape(len(columns), -1, 2).transpose(0, 2, 1)
     wide = counts[order].astype(np.int64).view(np.uint8).reshape(-1, 8).T
-    return _row("gram", level, part, len(counts), len(others), b"".join((others.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes(), planes.tobytes(), wide.tobytes())))
+    return _row("gram", level, part, len(counts), len(others), b"".join((others.tobytes(), planes.tobytes(), wide.tobytes())))
 
 
 def _grams(row, meta: dict):
     """The columns and counts of a row of n-grams."""
-    body, n, level, at = np.frombuffer(_body(row), np.uint8), row["n"], row["level"], 6 * row["others"]
-    others = np.zeros((row["others"], 8), np.uint8)
-    others[:, 2:] = body[:at].reshape(-1, 6)
+    body, n, level, at = np.frombuffer(_body(row), np.uint8), row["n"], row["level"], 8 * row["others"]
     planes = body[at : at + 2 * level * n].reshape(level, 2, n)
     numbers = planes[:, 0].astype(np.uint16) | planes[:, 1].astype(np.uint16) << np.uint16(8)
     columns = meta["frequent"][numbers]
-    columns[numbers == 0] = others.view(np.uint64).ravel()
+    columns[numbers == 0] = body[:at].view(np.uint64)
     counts = np.ascontiguousarray(body[at + 2 * level * n :].reshape(8, n).T).view(np.int64).ravel()
     return [*columns, counts]
 
@@ -205,8 +203,8 @@ def _in_turn(batches, *names):
 # --- the model's files ---------------------------------------------------------------------------
 
 
-def _array(keys: np.ndarray, values: np.ndarray) -> bytes:
-    """A sorted hash array: buckets by the leading bits; for each key 24 further bits and a code of 8 for its row of values."""
+def _array(keys: np.ndarray, values: np.ndarray, whole: bool = False) -> bytes:
+    """A sorted hash array: buckets by the leading bits; for each key 24 further bits and a code of 8 for its row of values; whole: all bits beside them."""
     n, m = values.shape
     bits = max(1, int(n // 8).bit_length())
     order = np.argsort(keys)
@@ -225,7 +223,7 @@ def _array(keys: np.ndarray, values: np.ndarray) -> bytes:
     table = np.zeros((_COMMON + 1, m), np.int64)
     table[: len(common)] = common[:, None] >> (5 * np.arange(m)) & 31
     big = np.flatnonzero(code == _COMMON)
-    parts = [np.array([n, m, bits, len(big)]), table, big, values[big].astype(np.int64), offsets, rest | code]
+    parts = [np.array([n, m, bits, len(big), whole]), table, big, values[big].astype(np.int64), offsets, rest | code, keys[: n * whole]]
     return b"".join(x.tobytes() + b"\0" * (-x.nbytes % 8) for x in parts)
 
 
@@ -233,8 +231,8 @@ class _Array:
     """A view of what :func:`_array` wrote."""
 
     def __init__(self, raw: np.ndarray):
-        n, self.m, self.bits, n_big = raw[:32].view(np.int64).tolist()
-        at = 32
+        n, self.m, self.bits, n_big, whole = raw[:40].view(np.int64).tolist()
+        at = 40
 
         def take(kind, *shape):
             nonlocal at
@@ -245,9 +243,14 @@ class _Array:
 
         self.table, self.big, self.values = take(np.int64, _COMMON + 1, self.m), take(np.int64, n_big), take(np.int64, n_big, self.m)
         self.offsets, self.entries = take(np.uint32, (1 << self.bits) + 1), take(np.uint32, n)
+        self.keys = take(np.uint64, n) if whole else None
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The values of keys, zeros where absent."""
+        if self.keys is not None:
+            low = np.searchsorted(self.keys, keys)
+            hit = np.flatnonzero(self.keys[np.minimum(low, len(self.keys) - 1)] == keys) if len(self.keys) else np.zeros(0, np.int64)
+            return self._values(len(keys), hit, low[hit])
         bucket, least = (keys >> np.uint64(64 - self.bits)).astype(np.int64), (keys >> np.uint64(40 - self.bits)).astype(np.uint32) << np.uint32(8)
         low, end = self.offsets[bucket].astype(np.int64), self.offsets[bucket + 1].astype(np.int64)
         high = end
@@ -255,20 +258,21 @@ class _Array:
             middle = (low + high) >> 1
             less = (low < high) & (self.entries[np.minimum(middle, len(self.entries) - 1)] < least)
             low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
-        out = np.zeros((len(keys), self.m), np.int64)
         hit = np.flatnonzero(low < end)
-        found = self.entries[low[hit]]
-        same = (found ^ least[hit]) < 256
-        hit, code = hit[same], found[same] & np.uint32(255)
+        hit = hit[(self.entries[low[hit]] ^ least[hit]) < 256]
+        return self._values(len(keys), hit, low[hit])
+
+    def _values(self, n: int, hit: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out, code = np.zeros((n, self.m), np.int64), self.entries[at] & np.uint32(255)
         out[hit] = self.table[code]
-        rare = hit[code == _COMMON]
-        if len(rare):
-            out[rare] = self.values[np.searchsorted(self.big, low[rare])]
+        rare = code == _COMMON
+        if rare.any():
+            out[hit[rare]] = self.values[np.searchsorted(self.big, at[rare])]
         return out
 
 
-def _write(path: str, name: str, arrays: dict[tuple[str, int], bytes]) -> None:
-    """One file of several arrays, renamed when complete."""
+def _write(path: str, name: str, arrays: dict[tuple[str, int], bytes]) -> int:
+    """One file of several arrays, renamed when complete; its size."""
     os.makedirs(path, exist_ok=True)
     own = f"{path}/.{uuid.uuid4().hex}"
     head, at = [len(arrays)], 8 * (1 + 3 * len(arrays))
@@ -280,6 +284,7 @@ def _write(path: str, name: str, arrays: dict[tuple[str, int], bytes]) -> None:
         for data in arrays.values():
             f.write(data)
     os.replace(own, f"{path}/{name}")
+    return at
 
 
 class Model:
@@ -292,7 +297,9 @@ class Model:
         if name not in self.files:
             where = f"{self.path}/{name}"
             self.files[name] = {}
-            if os.path.exists(where):
+            if name in self.meta["files"]:
+                if not os.path.exists(where) or os.path.getsize(where) != self.meta["files"][name]:
+                    raise FileNotFoundError(f"{where} of the model is missing or cut short: spark.checkpoint.dir must be one folder for all machines")
                 raw = np.asarray(np.memmap(where, np.uint8, "r"))
                 head = raw[8 : 8 + 24 * int(raw[:8].view(np.int64)[0])].view(np.int64).reshape(-1, 3)
                 self.files[name] = {("context" if k % 2 else "gram", k // 2): _Array(raw[at : at + size]) for k, at, size in head.tolist()}
@@ -460,7 +467,7 @@ def train(texts: DataFrame, order: int = ORDER, prune: int = PRUNE) -> tuple[str
                 for p, own in _groups(_range(context[far], parts)):
                     yield _sum_row("context", level, p, context[far][own], stats[far][own])
                 columns, counts = _unique(columns[1:], np.ones(len(counts), np.int64))
-            _write(path, f"grams-{rows[0]['part']}", arrays)
+            yield _row("file", 0, rows[0]["part"], 0, 0, np.array([_write(path, f"grams-{rows[0]['part']}", arrays)]).tobytes())
             by = np.argsort(columns[0])
             words.append((columns[0][by], np.stack([counts[by], tokens[1]], axis=1)))
             n_words += len(by)
@@ -478,20 +485,29 @@ def train(texts: DataFrame, order: int = ORDER, prune: int = PRUNE) -> tuple[str
         for rows in _in_turn(batches, "kind", "level", "part"):
             kind, level, part = (rows[0][c] for c in ("kind", "level", "part"))
             if kind == "tally":
-                out += [(level, *np.frombuffer(_body(r), np.int64).tolist(), 0, 0, 0) for r in rows]
+                out += [("", level, *np.frombuffer(_body(r), np.int64).tolist(), 0, 0, 0) for r in rows]
                 continue
-            keys, values = _sums(rows)
-            if kind == "context":
-                _write(path, f"contexts{level}-{part}", {("context", level): _array(keys, values)})
+            if kind == "file":
+                name, size = f"grams-{part}", int(np.frombuffer(_body(rows[0]), np.int64)[0])
+            elif kind == "context":
+                name = f"contexts{level}-{part}"
+                size = _write(path, name, {("context", level): _array(*_sums(rows))})
             else:
-                _write(path, f"words-{part}", {("gram", 1): _array(keys, values)})
-                out.append((1, *[int((values[:, 0] == k).sum()) for k in (1, 2, 3, 4)], int(values[:, 0].sum()), int(values[:, 1].sum()), len(keys)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [[]] * 8], ["level", "n1", "n2", "n3", "n4", "pairs", "tokens", "words"])
+                keys, values = _sums(rows)
+                name = f"words-{part}"
+                size = _write(path, name, {("gram", 1): _array(keys, values, whole=True)})
+                out.append(("", 1, *[int((values[:, 0] == k).sum()) for k in (1, 2, 3, 4)], int(values[:, 0].sum()), int(values[:, 1].sum()), len(keys)))
+            out.append((name, 0, size, 0, 0, 0, 0, 0, 0))
+        names, *numbers = list(zip(*out, strict=True)) or [[]] * 9
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in numbers)], ["file", "level", "n1", "n2", "n3", "n4", "pairs", "tokens", "words"])
 
     grams = texts.mapInArrow(count, _ROWS).repartition(width, "part").sortWithinPartitions("part").mapInArrow(add, _ROWS)
     ends = grams.repartition(width, "kind", "level", "part").sortWithinPartitions("kind", "level", "part")
-    sums = ends.mapInArrow(finish, "level long, n1 long, n2 long, n3 long, n4 long, pairs long, tokens long, words long")
-    found = {r.level: r for r in sums.groupBy("level").agg(*[F.sum(c).alias(c) for c in sums.columns[1:]]).collect()}
+    sums = ends.mapInArrow(finish, "file string, level long, n1 long, n2 long, n3 long, n4 long, pairs long, tokens long, words long")
+    # a row per level and one per file: four files and more a shuffle partition, as the partitions' number and not the corpus has it
+    found = sums.groupBy("file", "level").agg(*[F.sum(c).alias(c) for c in sums.columns[2:]]).collect()
+    meta["files"] = {r.file: r.n1 for r in found if r.file}
+    found = {r.level: r for r in found if not r.file}
     meta["discounts"] = {n: _discounts([found[n][f"n{k}"] for k in (1, 2, 3, 4)] if n in found else [0] * 4) for n in range(1, order + 1)}
     one = found.get(1)
     n1, n2, pairs = (one.n1, one.n2, one.pairs) if one else (0, 0, 0)
