@@ -48,19 +48,6 @@ class FrequencyOp:
         return features.frequency(rows, self.train, self.field)
 
 
-def fm_scores(rows: DataFrame, fields: list[str], parameters: DataFrame, bias: float, row_id: str = "row_id") -> DataFrame:
-    """row_id, score = bias + sum w + (|sum v|^2 - sum |v|^2) / 2 over the row's field values.
-
-    parameters: field, value, w, v (array).  Unknown values add nothing.
-    """
-    long = rows.select(row_id, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select(row_id, "x.field", "x.value")
-    hit = long.join(parameters, ["field", "value"], "left")
-    each = hit.select(row_id, "w", F.posexplode_outer("v").alias("k", "vk"))
-    per_k = each.groupBy(row_id, "k").agg(F.sum("vk").alias("s"), F.sum(F.col("vk") * F.col("vk")).alias("q"), F.sum("w").alias("w"))
-    total = per_k.groupBy(row_id).agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.max("w"), F.lit(0.0)).alias("linear"))
-    return total.select(row_id, (F.lit(float(bias)) + F.col("linear") + F.col("pairs")).alias("score"))
-
-
 class FMTrainer:
     """Spark's factorisation machine over coded fields."""
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impressa.functions import text as tx
-from impressa.operators import features, ledger, metrics, models, sampling
-from impressa.sources import impressions, ledgers, predictions
+from impressa.operators import features, fm, ledger, metrics, models, sampling
+from impressa.sources import impressions, ledgers, predictions, shared
 from impressa.streaming import events as live
 
 QUERIES: dict = {}
@@ -276,18 +276,18 @@ _PARAMS = "(values ('tab', 'view', 0.1e0, 0.2e0, 0.3e0), ('tab', 'click', -0.2e0
 select row_id, 0.25e0 + coalesce(sum(w), 0) + coalesce((sum(v1) ** 2 - sum(v1 * v1)) / 2 + (sum(v2) ** 2 - sum(v2 * v2)) / 2, 0) as score from x left join prm using (field, value) group by row_id""")
 def fm_scores(spark, d):
     p = spark.sql(f"select field, value, w, array(v1, v2) as v from {_PARAMS}")
-    return models.fm_scores(_parts(spark, d)[1], ["tab", "author_id"], p, 0.25)
+    return fm.scores(_parts(spark, d)[1], ["tab", "author_id"], p, 0.25)
 
 
 @query()
 def fm_trained_metrics(spark, d):
-    """Spark's factorisation machine on coded fields, stopped early on the valid split; metrics there."""
+    """A factorisation machine trained by minibatches on coded fields, stopped early on the valid split; metrics there."""
     train, valid = _parts(spark, d)
     fields = ["user_id", "item_id"]
-    coded = features.encode(train, train, fields), features.encode(valid, train, fields)
-    t = models.FMTrainer([f"{f}_code" for f in fields])
-    model = t.fit(coded[0], coded[1], 0, {"epochs": 10})
-    return metrics.ranking_metrics(t.predict(model, coded[1]))
+    names = [f"{f}_code" for f in fields]
+    coded = [shared.cut(features.encode(x, train, fields).select("row_id", "user_id", "label", *names)) for x in (train, valid)]
+    trainer = fm.MinibatchFM(names)
+    return metrics.ranking_metrics(trainer.predict(trainer.fit(*coded), coded[1]))
 
 
 @query(f"with {IMP} select row_id, label, coalesce(n, 0) as n from valid left join pop using (item_id)")
@@ -310,7 +310,7 @@ def masked_split_codes(spark, d):
 @query(f"with {IMP} select row_id, cast(user_id as varchar) as user_id, item_id as video_id, cast(format('{{:.6g}}', score) as double) as score from scored")
 def submission_round_trip(spark, d):
     """Scores written as a submission and read back checked."""
-    path = f"{ledgers.shared_folder(spark)}/submission-{uuid.uuid4().hex}"
+    path = f"{shared.shared_folder(spark)}/submission-{uuid.uuid4().hex}"
     predictions.write_submission(_scored(spark, d)[0].withColumnRenamed("item_id", "video_id"), path)
     return predictions.read_submission(spark, path)
 
@@ -492,7 +492,7 @@ def text_rules(spark, d):
 @query("select event_type as kind, string_agg(cast(event_id as varchar) || ';', '' order by event_id) as text from events group by event_type")
 def event_stream_text(spark, d):
     """The event log read as a stream into a table, then joined to one text per kind."""
-    base = f"{ledgers.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     src = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("kind"), F.col("event_id").alias("seq"), F.concat(F.col("event_id").cast("string"), F.lit(";")).alias("text"))
     ledgers.append_jsonl(src.repartition(3, "seq"), f"{base}/log")
     live.drain(live.tail(spark, f"{base}/log", "kind string, seq long, text string"), f"{base}/table", f"{base}/checkpoint")

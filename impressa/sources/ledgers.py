@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,8 +49,3 @@ def read_yaml(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def plain_json(value) -> str:
     """JSON of a report with numpy scalars and arrays made plain."""
     return json.dumps(value, ensure_ascii=False, default=lambda x: x.tolist() if hasattr(x, "tolist") else str(x))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none, as in local tests."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="impressa-")
