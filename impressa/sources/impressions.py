@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from impressa.sources import ordered
 
 LOG_COLUMNS = ("date", "user_id", "video_id", "tab", "duration_ms")
 DIMENSION_COLUMNS = ("video_id", "author_id")
@@ -25,32 +26,34 @@ def require_columns(df: DataFrame, needed, what: str) -> None:
 
 
 def _csv(spark: SparkSession, path: str, what: str, needed) -> DataFrame:
-    head = spark.read.option("header", True).csv(path)
-    require_columns(head, needed, what)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in head.columns])
-    return spark.read.option("header", True).schema(schema).csv(path)
+    """row_id in file order, and the columns as text."""
+    rows = ordered.read_csv(spark, path)
+    require_columns(rows, needed, what)
+    return rows
 
 
 def read_dimension(spark: SparkSession, path: str) -> DataFrame:
     """video_id to author_id; of duplicates the last row of the file wins."""
-    rows = _csv(spark, path, "dimension", DIMENSION_COLUMNS).withColumn("ordinal", F.monotonically_increasing_id())
-    return rows.groupBy("video_id").agg(F.max_by(F.coalesce("author_id", F.lit("")), "ordinal").alias("author_id"))
+    rows = _csv(spark, path, "dimension", DIMENSION_COLUMNS)
+    return rows.groupBy("video_id").agg(F.max_by(F.coalesce("author_id", F.lit("")), "row_id").alias("author_id"))
 
 
 def read_logs(spark: SparkSession, paths: list[str], dimension: str, include_test: bool = False, expose_test_labels: bool = False, splits=None) -> DataFrame:
-    """Impressions of the CSV logs in file order.
+    """Impressions of the CSV logs; row_id counts the rows of all files in their order, from 0.
 
     Any label but the string 0 is 1, an absent item's author is UNK and a
     present item's empty author stays empty, dates outside the splits are
     dropped, and test labels are null unless exposed.
     """
-    logs = None
-    for k, path in enumerate(paths):
+    logs, before = None, F.lit(0).cast("long")
+    for path in paths:
         part = _csv(spark, path, "log", LOG_COLUMNS)
         if "long_view" not in part.columns:
             part = part.withColumn("long_view", F.lit(None).cast("string"))
-        part = part.select(*LOG_COLUMNS, "long_view").withColumn("file", F.lit(k)).withColumn("line", F.monotonically_increasing_id())
+        part = part.select((F.col("row_id") + before).alias("row_id"), *LOG_COLUMNS, "long_view")
         logs = part if logs is None else logs.unionByName(part)
+        if len(paths) > 1:
+            before = F.lit(logs.agg(F.coalesce(F.max("row_id") + 1, F.lit(0))).first()[0])
     authors = read_dimension(spark, dimension).select(F.col("video_id").alias("_v"), "author_id", F.lit(True).alias("hit"))
     date = F.col("date").cast("int")
     rows = logs.withColumn("split", split_of(date, splits or CSV_SPLITS)).where("split is not null")
@@ -61,7 +64,7 @@ def read_logs(spark: SparkSession, paths: list[str], dimension: str, include_tes
         label = F.when(F.col("split") != "test", label)
     rows = rows.join(authors, F.col("video_id") == F.col("_v"), "left")
     author = F.when(F.col("hit").isNull(), "UNK").otherwise(F.coalesce("author_id", F.lit("")))
-    return rows.select((F.col("file") * F.lit(1 << 53) + F.col("line")).alias("row_id"), "split", date.alias("date"), "user_id", "video_id", author.alias("author_id"), "tab", F.col("duration_ms").cast("double").alias("duration_ms"), label.cast("int").alias("label"))
+    return rows.select("row_id", "split", date.alias("date"), "user_id", "video_id", author.alias("author_id"), "tab", F.col("duration_ms").cast("double").alias("duration_ms"), label.cast("int").alias("label"))
 
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
+import zipfile
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from impressa.sources import ordered
+from impressa.sources.shared import shared_folder
+
 SCORE_NAMES = ("score", "scores", "prediction", "predictions")
 HEADER = ("row_id", "user_id", "video_id", "score")
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, score) of a CSV with one of SCORE_NAMES, or of an npy/npz array in row order."""
-    if path.endswith((".npy", ".npz")):
-        import numpy as np
-
-        data = np.load(path, allow_pickle=False)
-        if path.endswith(".npz"):
-            name = next((n for n in SCORE_NAMES if n in data), None)
-            if name is None:
-                raise ValueError(f"no array named {', '.join(SCORE_NAMES)}")
-            data = data[name]
-        if data.ndim != 1:
-            raise ValueError("scores must be one-dimensional")
-        return spark.createDataFrame([(i, float(v)) for i, v in enumerate(data)], "row_id long, score double")
+    """(row_id, score) of a CSV with one of SCORE_NAMES, or of an npy or npz array in row order.
+
+    An npy is read by byte ranges; an npz holds compressed members, of which
+    the one that is named like a score is written to the shared folder first.
+    """
+    if path.endswith(".npz"):
+        path = _member(spark, path)
+    if path.endswith(".npy"):
+        spark.dataSource.register(ordered.NpySource)
+        return spark.read.format("npy").option("path", path).load()
     rows = spark.read.option("header", True).csv(path)
     name = next((n for n in SCORE_NAMES if n in rows.columns), None)
     if name is None:
@@ -32,6 +38,22 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("row_id").cast("long").alias("row_id"), F.expr(f"try_cast(`{name}` as double)").alias("score"))
 
 
+def _member(spark: SparkSession, path: str) -> str:
+    """The score member of an npz as a file of the shared folder, copied in pieces."""
+    with zipfile.ZipFile(path) as z:
+        name = next((n for n in SCORE_NAMES if f"{n}.npy" in z.namelist()), None)
+        if name is None:
+            raise ValueError(f"no array named {', '.join(SCORE_NAMES)}")
+        where = urlparse(shared_folder(spark))
+        if where.scheme not in ("", "file"):
+            raise ValueError(f"an npz is unpacked to a mounted folder, not {where.scheme}://: give an npy")
+        out = f"{unquote(where.path)}/{uuid.uuid4().hex}.npy"
+        os.makedirs(os.path.dirname(out), exist_ok=True)
+        with z.open(f"{name}.npy") as f, open(out, "wb") as g:
+            shutil.copyfileobj(f, g, 1 << 20)
+    return out
+
+
 def alignment(predictions: DataFrame, target: DataFrame) -> DataFrame:
     """One row: counts, misaligned rows, the first of them, non-finite scores, and whether all is well."""
     p = predictions.select(F.col("row_id").alias("_r"), F.col("user_id").alias("_u"), F.col("item_id").alias("_i"), "score", F.lit(True).alias("_p"))
