@@ -50,7 +50,7 @@ ORDER = 2
 PRUNE = 1
 #: The share of texts from which frequent words are chosen, and their number; they decide how work is dealt and sent, and no result.
 SHARE = 0.05
-FREQUENT = 65_535
+FREQUENT = 262_143
 _HELD = 2_500_000
 _SCORED_BYTES = 2_000_000
 _BEGIN, _END = np.uint64(1 << 16), np.uint64(2 << 16)
@@ -140,8 +140,8 @@ def _body(row) -> bytes:
 
 
 def _gram_row(level: int, part: int, columns, counts, meta: dict):
-    """N-grams sorted by their contexts and split in byte planes, which compress well: two bytes for a frequent word, zero and its id for another."""
-    ids, numbers = meta["frequent_ids"], np.zeros((len(columns), len(counts)), np.uint16)
+    """N-grams sorted by their contexts and split in byte planes, which compress well: three bytes for a frequent word, zero and its id for another."""
+    ids, numbers = meta["frequent_ids"], np.zeros((len(columns), len(counts)), np.uint32)
     if len(ids):
         for j, c in enumerate(columns):
             at = np.minimum(np.searchsorted(ids, c), len(ids) - 1)
@@ -149,7 +149,7 @@ def _gram_row(level: int, part: int, columns, counts, meta: dict):
     order = np.lexsort((numbers[-1], numbers[0], columns[-2], numbers[-2]))
     numbers = np.ascontiguousarray(numbers[:, order])
     others = np.concatenate([c[order][own == 0] for c, own in zip(columns, numbers, strict=True)])
-    planes = numbers.view(np.uint8).reshape(len(columns), -1, 2).transpose(0, 2, 1)
+    planes = numbers.view(np.uint8).reshape(len(columns), -1, 4)[:, :, :3].transpose(0, 2, 1)
     wide = counts[order].astype(np.int64).view(np.uint8).reshape(-1, 8).T
     return _row("gram", level, part, len(counts), len(others), b"".join((others.tobytes(), planes.tobytes(), wide.tobytes())))
 
@@ -157,11 +157,11 @@ def _gram_row(level: int, part: int, columns, counts, meta: dict):
 def _grams(row, meta: dict):
     """The columns and counts of a row of n-grams."""
     body, n, level, at = np.frombuffer(_body(row), np.uint8), row["n"], row["level"], 8 * row["others"]
-    planes = body[at : at + 2 * level * n].reshape(level, 2, n)
-    numbers = planes[:, 0].astype(np.uint16) | planes[:, 1].astype(np.uint16) << np.uint16(8)
+    planes = body[at : at + 3 * level * n].reshape(level, 3, n).astype(np.uint32)
+    numbers = planes[:, 0] | planes[:, 1] << np.uint32(8) | planes[:, 2] << np.uint32(16)
     columns = meta["frequent"][numbers]
     columns[numbers == 0] = body[:at].view(np.uint64)
-    counts = np.ascontiguousarray(body[at + 2 * level * n :].reshape(8, n).T).view(np.int64).ravel()
+    counts = np.ascontiguousarray(body[at + 3 * level * n :].reshape(8, n).T).view(np.int64).ravel()
     return [*columns, counts]
 
 
@@ -400,7 +400,7 @@ def _frequent(texts: DataFrame, parts: int) -> dict:
     order = np.argsort(ids)
     spread = order[2 * parts * counts[order] > total]
     return {
-        "frequent": np.append(np.uint64(0), ids), "frequent_ids": ids[order], "frequent_numbers": (order + 1).astype(np.uint16),
+        "frequent": np.append(np.uint64(0), ids), "frequent_ids": ids[order], "frequent_numbers": (order + 1).astype(np.uint32),
         "spread_ids": ids[spread], "spread_over": np.array([-(-2 * parts * n // total) for n in counts[spread].tolist()], np.uint64)}
 
 
