@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from impressa.functions import text as tx
 from impressa.operators import features, fm, ledger, metrics, models, sampling
-from impressa.sources import impressions, ledgers, predictions, shared
+from impressa.sources import impressions, ledgers, ordered, predictions, shared
 from impressa.streaming import events as live
 
 QUERIES: dict = {}
@@ -497,3 +497,36 @@ def event_stream_text(spark, d):
     ledgers.append_jsonl(src.repartition(3, "seq"), f"{base}/log")
     live.drain(live.tail(spark, f"{base}/log", "kind string, seq long, text string"), f"{base}/table", f"{base}/checkpoint")
     return live.assemble_text(spark.read.parquet(f"{base}/table"))
+
+
+@query(f"""with t as (select event_type as kind, string_agg(cast(event_id as varchar) || ';', '' order by event_id) as text from events group by event_type)
+select kind, chunk, substring(text, chunk * {live.CHUNK} + 1, {live.CHUNK}) as text from (select kind, text, unnest(range(0, (length(text) + {live.CHUNK - 1}) // {live.CHUNK})) as chunk from t)""")
+def event_stream_chunks(spark, d):
+    """The event log written in three parts, each read as a batch of a stateful stream, as one text per kind in chunks."""
+    base = f"{shared.shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    src = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("kind"), F.col("event_id").alias("seq"), F.concat(F.col("event_id").cast("string"), F.lit(";")).alias("text"))
+    least, most = src.agg(F.min("seq"), F.max("seq")).first()
+    for k in range(3):
+        part = src.where((F.col("seq") - least) * 3 >= k * (most - least + 1)).where((F.col("seq") - least) * 3 < (k + 1) * (most - least + 1))
+        ledgers.append_jsonl(part, f"{base}/log")
+        live.drain_chunks(live.tail(spark, f"{base}/log", "kind string, seq long, text string", 1_000), f"{base}/table", f"{base}/checkpoint")
+    return live.latest_chunks(spark, f"{base}/table").select("kind", "chunk", "text")
+
+
+@query(f"""with e as (select event_type as kind, event_id as seq, cast(event_id as varchar) || ';' as text, (select quantile_disc(event_id, 0.25) from events) as a, (select quantile_disc(event_id, 0.75) from events) as b from events),
+t as (select kind, string_agg(text, '' order by seq) as text from e where seq >= a and seq < b group by kind)
+select kind, chunk, substring(text, chunk * {live.CHUNK} + 1, {live.CHUNK}) as text from (select kind, text, unnest(range(0, (length(text) + {live.CHUNK - 1}) // {live.CHUNK})) as chunk from t)""")
+def event_range_chunks(spark, d):
+    """The text of each kind between two offsets of the event log, in chunks."""
+    src = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("kind"), F.col("event_id").alias("seq"), F.concat(F.col("event_id").cast("string"), F.lit(";")).alias("text"))
+    a, b = src.select(F.percentile("seq", F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    return live.chunks_between(src, int(a), int(b))
+
+
+@query("select row_number() over (order by event_id) - 1 as row_id, cast(event_id as varchar) as event_id, event_type || chr(10) || '\"' || cast(user_id as varchar) || '\",' || chr(10) as note from events")
+def csv_rows_in_file_order(spark, d):
+    """Events written as CSV files with line breaks in quotes and read back; row_id is the place in the files."""
+    folder = f"{shared.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id"), F.concat("event_type", F.lit('\n"'), F.col("user_id").cast("string"), F.lit('",\n')).alias("note"))
+    rows.orderBy("event_id").write.options(header=True, escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    return ordered.read_csv(spark, folder)
