@@ -16,6 +16,10 @@ Archives are written by Spark's text sink (which writes the bytes of a string as
 they are) with the record separator as line separator, so retries and lost executors cannot leave half files, and read back
 as whole files of bounded record count.
 
+Archives may be gzip, of one or many members.  Url and type fields with spaces
+are told apart by the date.  A payload of any length is one record and one task's
+memory.  Further columns, whatever their names, are not read.
+
 A null or empty payload is a record of length 0; null urls become ``-``; pages
 that repeat an id and payload are all responses or all revisits; records cut
 short and bad header lines are returned with ``error`` set and not converted; an empty table gives
@@ -105,22 +109,41 @@ def arc_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return rows.mapInArrow(run, "name string, content binary")
 
 
+def _plain(content: bytes) -> bytes:
+    """The content of gzip members, one after the other, or what is not compressed as it is; a broken last member as far as it goes."""
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        try:
+            out.append(d.decompress(content))
+        except zlib.error:
+            break
+        content = d.unused_data
+    return b"".join(out) if out else content
+
+
 def _header(content: bytes, at: int, fields: int):
-    """(parts, first byte of the document, its declared size) of the line at a position, or None."""
+    """((url, ip, date, mime), first byte of the document, its declared size, spaces beyond the fields') of the line at a position, or None.
+
+    Urls and media types may hold spaces: the date is the last field of 14
+    digits that leaves room for the fields after it, or else counted from the right.
+    """
     end = content.find(b"\n", at)
     if end < 0:
         return None
     line = content[at:end].rstrip(b"\r").decode("utf-8", "replace").split(" ")
     if len(line) < fields or not line[-1].isdecimal():
         return None
-    return line, end + 1, int(line[-1])
+    last = len(line) - fields + 2  # of the date, if the type is one word
+    date = next((i for i in range(last, 1, -1) if re.fullmatch(r"[0-9]{14}", line[i], re.ASCII)), last)
+    return (" ".join(line[: date - 1]), line[date - 1], line[date], " ".join(line[date + 1 : len(line) - fields + 4])), end + 1, int(line[-1])
 
 
 def _resync(content: bytes, at: int, fields: int) -> int:
     """The next line after a position that is a header of a url with a whole record behind it, or the end."""
     while (at := content.find(b"\n", at) + 1) > 0:
         found = _header(content, at, fields)
-        if found and len(found[0]) == fields and re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", found[0][0]):
+        if found and re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", found[0][0]):
             after = found[1] + found[2]
             if after == len(content) or content[after : after + 1] == b"\n":
                 return at
@@ -128,7 +151,8 @@ def _resync(content: bytes, at: int, fields: int) -> int:
 
 
 def parse_arc(content: bytes):
-    """(url, ip, date, mime, document, error) of each record after the version block."""
+    """(url, ip, date, mime, document, error) of each record after the version block, of a plain or a compressed archive."""
+    content = _plain(content)
     at = content.find(b"\n") + 1
     head = content[: at - 1].split(b" ")
     try:
@@ -151,10 +175,10 @@ def parse_arc(content: bytes):
         line, start, size = found
         document = content[start : start + size]
         if len(document) < size:
-            yield line[0], line[1], line[2], line[3], document, "cut short"
+            yield *line, document, "cut short"
             at = _resync(content, at, fields)
             continue
-        yield line[0], line[1], line[2], line[3], document, None
+        yield *line, document, None
         at = start + size
 
 
@@ -230,19 +254,17 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip", records
 
 def parse_warc(content: bytes):
     """(headers, block) of each record of a WARC file, gzip or plain, by declared length."""
-    if content[:2] == b"\x1f\x8b":
-        out = []
-        while content:
-            d = zlib.decompressobj(31)
-            out.append(d.decompress(content))
-            content = d.unused_data
-        content = b"".join(out)
-    at = 0
+    content, at = _plain(content), 0
     while (at := content.find(b"WARC/", at)) >= 0:
         end = content.find(b"\r\n\r\n", at)
-        lines = content[at:end].decode().split(CRLF)[1:]
+        if end < 0:
+            return
+        lines = re.sub(r"\r\n[ \t]+", " ", content[at:end].decode("utf-8", "replace")).split(CRLF)[1:]
         headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
+        size = _number(headers.get("content-length"))
+        if size is None or size < 0:
+            at = end
+            continue
         yield headers, content[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 
@@ -251,7 +273,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of WARC files: page_id, payload_bytes, payload_digest, record_type, refers_to and headers.
 
     Sizes and digests of responses are computed from the payloads read; revisits
-    have those their headers state.
+    have those their headers state.  Records of other types (warcinfo, request,
+    metadata...) have the size and digest of their block.  What a header does
+    not state is null, and so is ``digest_ok`` without a base32 SHA-1 to compare.
     """
 
     @trimmed
@@ -260,13 +284,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column("content"):
                 rows = []
                 for h, block in parse_warc(content.as_py()):
-                    http, _, payload = block.partition(b"\r\n\r\n")
+                    kind = h.get("warc-type", "")
+                    web = kind in ("response", "revisit") and block.startswith(b"HTTP/")
+                    http, _, payload = block.partition(b"\r\n\r\n") if web else (b"", b"", block)
                     page = next((x[10:].strip() for x in http.decode("latin-1").split(CRLF) if x.lower().startswith("x-page-id:")), "")
-                    own = h["warc-type"] == "response"
-                    stated = h["warc-payload-digest"].removeprefix("sha1:")
-                    digest = _digest(payload) if own else stated
-                    refers = h.get("x-refers-to-page-id")
-                    rows.append((_number(page), len(payload) if own else int(h["x-payload-length"]), digest, h["warc-type"], _number(refers), h["warc-record-id"], h["warc-date"], h["warc-target-uri"], digest == stated))
+                    stated = h.get("warc-payload-digest" if kind in ("response", "revisit") else "warc-block-digest")
+                    stated = stated.removeprefix("sha1:") if stated and re.fullmatch(r"sha1:[A-Z2-7]{32}", stated) else None
+                    digest = stated if kind == "revisit" else _digest(payload)
+                    size = _number(h.get("x-payload-length")) if kind == "revisit" else len(payload)
+                    rows.append((_number(page), size, digest, kind, _number(h.get("x-refers-to-page-id")), h.get("warc-record-id"), h.get("warc-date"), h.get("warc-target-uri"), None if stated is None else digest == stated))
                 cols = list(zip(*rows, strict=True)) or [[]] * 9
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date", "url", "digest_ok"])
