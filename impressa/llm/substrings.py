@@ -10,7 +10,9 @@ equal suffixes meet in one bucket at equal places:
 2. For the others each task sends the bytes around the key once per distinct
    context: of documents with equal contexts (compared byte by byte) the
    smallest is sent, the others are resolved at once.  A key in a third of all
-   documents thus costs one row per task and context.
+   documents thus costs one row per task and context.  Contexts of a key with
+   many documents are cut to lots (``lots``) that are dealt by the bytes that
+   their windows have in common, so different contexts of it do not meet.
 3. Reducers stream the bucket ranges.  In a range equal contexts become one
    class again; where a key has several classes, their suffixes are ordered by
    a difference cover (``suffixes``), and each run of neighbours with LENGTH
@@ -40,7 +42,9 @@ from impressa.llm.text import chunks, mix, powers, prefix_hash, range_hash, stri
 
 LENGTH = 50
 K = 20
-_SHARED = ((2, 27),)
+#: Documents that make a key shared, hot and very hot (with the bits of their bitmaps), and the windows of a lot of a hot key.
+_SHARED = ((2, 27), (1024, 25), (65_536, 23))
+_LOT = (0, 0, 8, 1)  # by level; 0: the key is not cut
 _HELD = 100_000  # contexts
 
 
@@ -90,6 +94,29 @@ class Anchors:
         return which[some], first[some], last[some]
 
 
+def lots(a: Anchors, which: np.ndarray, first: np.ndarray, last: np.ndarray, level: np.ndarray, k: int = K):
+    """(anchors, first and last window start, key to deal by) of contexts, those of hot keys cut to lots.
+
+    A window holds e bytes before its anchor.  Windows whose e fall in one lot
+    have the bytes around the anchor in common that all of them hold, and are
+    dealt by a hash of those: 43 of 50 bytes, or all if the key is very hot.
+    """
+    rest, at = a.length - k, a.at[which]
+    size = np.array(_LOT)[level]
+    least, most, step = at - last, at - first, np.maximum(size, 1)
+    low = np.where(size > 0, least // step, 0)
+    n = np.where(size > 0, most // step - low, 0) + 1
+    own = np.repeat(np.arange(len(which)), n)
+    lot = _places(low, n)
+    cut, step = size[own] > 0, step[own]
+    begin = np.where(cut, np.maximum(least[own], lot * step), least[own])
+    end = np.where(cut, np.minimum(most[own], lot * step + step - 1), most[own])
+    key = a.key[which][own]
+    left, right = lot[cut] * step[cut], rest - np.minimum(lot[cut] * step[cut] + step[cut] - 1, rest)
+    key[cut] = mix(range_hash(a.sums, at[own][cut] - left, at[own][cut] + k + right) + lot[cut].astype(np.uint64))
+    return which[own], at[own] - end, at[own] - begin, key
+
+
 def _chunks(batch, text):
     data, offsets = string_buffer(batch.column(text))
     for first, last in chunks(offsets):
@@ -118,11 +145,15 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ids = batch.column("doc_id").to_numpy()
             for first, data, offsets in _chunks(batch, "text"):
                 a = Anchors(data, offsets, length, k)
-                which, lo, hi = a.intervals(np.flatnonzero(levels_of(shared.value, a.key))) if len(a.at) else (a.at, a.at, a.at)
+                if not len(a.at):
+                    continue
+                level = levels_of(shared.value, a.key)
+                which, lo, hi = a.intervals(np.flatnonzero(level))
                 if not len(which):
                     continue
+                which, lo, hi, key = lots(a, which, lo, hi, level[which], k)
                 size, doc = hi + length - lo, np.searchsorted(offsets, lo, "right") - 1
-                held.append((range_hash(a.sums, lo, lo + size), a.key[which], ids[doc + first], lo - offsets[doc], size, a.at[which] - lo, data[_places(lo, size)]))
+                held.append((range_hash(a.sums, lo, lo + size), key, ids[doc + first], lo - offsets[doc], size, a.at[which] - lo, data[_places(lo, size)]))
                 n += len(which)
                 if n >= _HELD:
                     yield from _contexts(held, parts)
