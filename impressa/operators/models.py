@@ -7,10 +7,11 @@ from typing import Protocol
 from pyspark.ml.classification import FMClassifier
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from impressa.operators import features, metrics
+from impressa.sources.shared import cut
 
 
 class FeatureOp(Protocol):
@@ -28,11 +29,12 @@ class Trainer(Protocol):
 
 
 def transform_without_label(op: FeatureOp, rows: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """The op on rows without their label; the label is joined back and the number of rows must hold."""
-    out = op.transform(rows.drop("label"))
-    if out.count() != rows.count():
+    """The op on rows without their label; the label is joined back, and the identifiers that come out must be those that went in."""
+    out, own = op.transform(rows.drop("label")), rows.select(F.col(row_id).alias("_id"), "label")
+    both = cut(out.join(own, F.col(row_id).eqNullSafe(F.col("_id")), "full").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.coalesce("_id", row_id)))))
+    if not both.where(~F.col(row_id).eqNullSafe(F.col("_id")) | (F.col("_n") > 1)).isEmpty():
         raise ValueError("a feature op must keep the rows")
-    return out.join(rows.select(row_id, "label"), row_id)
+    return both.drop("_id", "_n")
 
 
 class FrequencyOp:

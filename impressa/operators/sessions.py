@@ -18,26 +18,43 @@ def _broken(rules: list[tuple[str, Column]], name: str) -> Column:
     return F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())).alias(name)
 
 
-def symptom_rules(cards: DataFrame) -> DataFrame:
+#: Losses that score row by row, and features that hold more of a user's past than counts.
+POINTWISE = ("bce", "logloss", "mse")
+HISTORY = ("recent_items", "history_rate")
+
+
+def symptom_rules(cards: DataFrame, low_train: float = 0.6) -> DataFrame:
     """(run, symptom) of scorecards.
 
     Columns: run, train_primary, valid_primary, low_gauc and low_share of the least exposed items (gauc null if too few rows),
     high_gauc, gauc, ndcg, prev_gauc, prev_ndcg (null in a first round), seen_gauc, unseen_gauc, falls, mixed_share,
-    best_epoch, epochs, seconds, budget, sd (null with one seed), rows_match, nonfinite, distinct_scores.
+    best_epoch, epochs, seconds, budget, sd (null with one seed), rows_match, nonfinite, distinct_scores; where there are any,
+    low_band and primary_band (measured noise of the least exposed items' gauc and of the main score; null: not measured), loss and features.
     """
+    has = set(cards.columns)
     c = F.col
     gap, up, top = c("train_primary") - c("valid_primary"), c("gauc") - c("prev_gauc"), c("ndcg") - c("prev_ndcg")
+    low = F.coalesce("low_band", F.lit(0.03)) if "low_band" in has else F.lit(0.03)
+    wide = gap > (F.coalesce("primary_band", F.lit(0.04)) if "primary_band" in has else F.lit(0.04))
     rules = [
-        ("cold_items", (c("high_gauc") - c("low_gauc") > 0.03) & (c("low_share") > 0.2)), ("opposite_moves", ((up > 0) & (top <= 0)) | ((top > 0) & (up <= 0))), ("memorising", gap > 0.04),
-        ("cold_users", c("seen_gauc") - c("unseen_gauc") >= 0.03), ("drift", c("falls")), ("degenerate_users", c("mixed_share") < 0.6), ("underfit", (gap < 0.02) & (c("best_epoch") == c("epochs"))),
+        ("cold_items", (c("high_gauc") - c("low_gauc") > low) & (c("low_share") > 0.2)), ("opposite_moves", ((up > 0) & (top <= 0)) | ((top > 0) & (up <= 0))), ("memorising", wide),
+        ("cold_users", c("seen_gauc") - c("unseen_gauc") >= 0.03), ("drift", c("falls") | (wide & (c("train_primary") < low_train))), ("degenerate_users", c("mixed_share") < 0.6), ("underfit", (gap < 0.02) & (c("best_epoch") == c("epochs"))),
         ("slow", c("seconds") / c("budget") > 0.05), ("unstable", c("sd") > 0.002), ("mismatch", ~c("rows_match") | (c("nonfinite") > 0) | (c("distinct_scores") <= 1))]
+    if "loss" in has:
+        rules.append(("pointwise_loss", c("loss").isin(*POINTWISE)))
+    if "features" in has:
+        rules.append(("unused_history", ~F.arrays_overlap("features", F.array(*map(F.lit, HISTORY)))))
     return cards.select("run", _broken(rules, "symptom"))
 
 
 def danger_gate(cards: DataFrame, findings: DataFrame, gap: float = 0.15, severity: float = 0.7) -> DataFrame:
-    """Runs whose train and valid scores lie more than ``gap`` apart and that no finding of that severity answers."""
+    """Runs whose train and valid scores lie more than ``gap`` apart and whose findings (run, symptom, severity) do not say so.
+
+    What says so is a finding of memorising or of mismatched data, the severest of which is of ``severity`` or more.
+    """
     danger = cards.where(F.abs(F.col("train_primary") - F.col("valid_primary")) > gap)
-    return danger.join(findings.where(F.col("severity") >= severity).select("run"), "run", "left_anti").select("run")
+    said = findings.where(F.col("symptom").isin("memorising", "mismatch")).groupBy("run").agg(F.max("severity").alias("most")).where(F.col("most") >= severity)
+    return danger.join(said, "run", "left_anti").select("run")
 
 
 def reflection_violations(reflections: DataFrame, targets: DataFrame, items: DataFrame, floor: float = ledger.NOISE_FLOOR) -> DataFrame:

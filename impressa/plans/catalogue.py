@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impressa.functions import text as tx
-from impressa.operators import features, fm, ledger, metrics, models, sampling
+from impressa.operators import features, fm, ledger, metrics, models, plugins, sampling
 from impressa.sources import impressions, ledgers, ordered, predictions, shared
 from impressa.streaming import events as live
 
@@ -147,6 +147,15 @@ def duration_buckets(spark, d):
     return valid.select("row_id", features.bucket_left(v, edges).cast("long").alias("bucket_left"), features.bucket_right(v, edges).cast("long").alias("bucket_right"))
 
 
+@query(f"""with {IMP}, e as (select item_id, sum(label) as s, count(*) as n from train group by item_id), g as (select avg(label) as m from train)
+select row_id, label, coalesce((s + 20 * m) / (n + 20), m) as encoding, coalesce(n, 0) as frequency from valid left join e using (item_id) cross join g""")
+def feature_plugins(spark, d):
+    """Two feature plug-ins fitted on train, applied to the valid split without its labels."""
+    train, valid = _parts(spark, d)
+    _, (rows,), _, _ = plugins.apply([plugins.TargetEncoder(field="item_id"), plugins.FrequencyEncoder(field="item_id")], train, [valid])
+    return rows.select("row_id", "label", "encoding", "frequency")
+
+
 @query(f"""with {IMP}, v as (select item_id, row_number() over (order by min(row_id), item_id) - 1 as code from train group by item_id), w as (select user_id, row_number() over (order by min(row_id), user_id) - 1 as code from train group by user_id)
 select row_id, coalesce(v.code, (select count(*) from v)) as item_id_code, coalesce(w.code, (select count(*) from w)) as user_id_code from valid left join v using (item_id) left join w using (user_id)""")
 def vocab_encode(spark, d):
