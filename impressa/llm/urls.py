@@ -64,6 +64,15 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(top, segments, keys, labels))
 
 
+def rule_tokens(rules=LISTED) -> list[str]:
+    """The tokens that hosts and paths of the rules give: labels that come from the rules follow from them alone."""
+    out = set()
+    for host, path, _ in rules:
+        labels = [x for x in host.split(".") if x]
+        out |= {f"t:{labels[-1]}", f"d:{'.'.join(labels[-2:])}", *(f"h:{x}" for x in labels), *(f"p:{x}" for x in path.split("/") if x)}
+    return sorted(out)
+
+
 def token_groups(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
     """(token, item, n): the tokens with min_support, and for those that occur in the same labelled urls one that stands for all.
 
@@ -110,13 +119,15 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", liste
     """Per page: page_id, host, path, rule (listed, else null), verdict, mined_rule, confidence.
 
     ``labelled`` (url, verdict) are the labels to mine; by default the urls that
-    the list decides.  Urls with equal items are matched once.  The inverted
+    the list decides, without the tokens that the list itself reads.  Urls with equal items are matched once.  The inverted
     index has a rule under its rarest item; the rules found there are checked
     for their other items.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("items", tokens(F.col("url"), F.col("host"), F.col("path"))).withColumn("r", listed_rule(F.col("host"), F.col("path"), listed))
     if labelled is None:
+        # else mining would only find the list again, and hold pages without a rule for what the rules' hosts and paths say
+        rows = rows.withColumn("items", F.array_except("items", F.array(*map(F.lit, rule_tokens(listed)))))
         known = rows.where("r is not null").select("items", F.col("r.verdict").alias("verdict"))
     else:
         own = labelled.select("url", "verdict").select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "url", "verdict")
