@@ -147,8 +147,7 @@ def duration_buckets(spark, d):
     return valid.select("row_id", features.bucket_left(v, edges).cast("long").alias("bucket_left"), features.bucket_right(v, edges).cast("long").alias("bucket_right"))
 
 
-@query(f"""with {IMP}, e as (select item_id, sum(label) as s, count(*) as n from train group by item_id), g as (select avg(label) as m from train)
-select row_id, label, coalesce((s + 20 * m) / (n + 20), m) as encoding, coalesce(n, 0) as frequency from valid left join e using (item_id) cross join g""")
+@query(f"with {IMP} select row_id, label, coalesce((s + 20e0 * g) / (n + 20e0), g) as encoding, coalesce(n, 0) as frequency from valid left join pop using (item_id) cross join g")
 def feature_plugins(spark, d):
     """Two feature plug-ins fitted on train, applied to the valid split without its labels."""
     train, valid = _parts(spark, d)
