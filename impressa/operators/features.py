@@ -5,24 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from impressa.sources.shared import cut
+
 
 def popularity(train: DataFrame, item: str = "item_id", prior: float = 20.0) -> DataFrame:
     """Per item: n, positives, smoothed rate (positives + prior * mean) / (n + prior); and the mean."""
     if not 1 <= prior <= 200:
         raise ValueError("prior must lie in 1..200")
-    per = train.groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"), F.count("label").alias("_l"))
-    mean = per.agg((F.sum("positives") / F.sum("_l")).alias("mean"))  # of the counts, not of the rows again
-    return per.crossJoin(F.broadcast(mean)).select(item, "n", "positives", ((F.col("positives") + prior * F.col("mean")) / (F.col("n") + prior)).alias("rate"), "mean")
+    per, mean = _item_counts(train, item)
+    return per.select(item, "n", "positives", ((F.col("positives") + prior * mean) / (F.col("n") + prior)).alias("rate"), mean.alias("mean"))
+
+
+def _item_counts(train: DataFrame, item: str) -> tuple[DataFrame, Column]:
+    """(a row per item, written once, so that train is read once; the mean label)"""
+    per = cut(train.groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"), F.count("label").alias("_l")))
+    return per, F.lit(per.agg(F.sum("positives") / F.sum("_l")).first()[0]).cast("double")
 
 
 def popularity_scores(rows: DataFrame, train: DataFrame, item: str = "item_id", prior: float = 20.0, exposures: str | None = None) -> DataFrame:
     """rows with score; an item that train lacks gets the train mean.  ``exposures`` names a column for the train count."""
-    per = popularity(train, item, prior)
-    mean = per.agg(F.first("mean").alias("_mean"))
-    out = rows.join(per.select(F.col(item).alias("_i"), "rate", F.col("n").alias("_x")), F.col(item) == F.col("_i"), "left").crossJoin(F.broadcast(mean)).withColumn("score", F.coalesce("rate", "_mean"))
+    if not 1 <= prior <= 200:
+        raise ValueError("prior must lie in 1..200")
+    per, mean = _item_counts(train, item)
+    known = per.select(F.col(item).alias("_i"), F.col("n").alias("_x"), "positives")
+    out = rows.join(known, F.col(item) == F.col("_i"), "left").withColumn("score", F.coalesce((F.col("positives") + prior * mean) / (F.col("_x") + prior), mean))
     if exposures:
         out = out.withColumn(exposures, F.coalesce("_x", F.lit(0)).cast("long"))
-    return out.drop("_i", "_x", "rate", "_mean")
+    return out.drop("_i", "_x", "positives")
 
 
 def placed(rows: DataFrame, key: str, ties: list[str], name: str, weight: str | None = None) -> DataFrame:
@@ -43,7 +52,7 @@ def placed(rows: DataFrame, key: str, ties: list[str], name: str, weight: str |
 
 def quantile_edges(train: DataFrame, column: str, bins: int) -> list[float]:
     """Inner quantiles with linear interpolation (exact): the two rows around each are looked up in the running count of the values."""
-    values = train.where(F.col(column).isNotNull() & ~F.isnan(column)).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    values = cut(train.where(F.col(column).isNotNull() & ~F.isnan(column)).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
     total = values.agg(F.sum("n").alias("t")).first().t or 0
     if not total:
         return []
@@ -68,7 +77,7 @@ def bucket_right(value: Column, edges: list[float]) -> Column:
 
 def vocabulary(train: DataFrame, field: str, row_id: str = "row_id", first: int = 0) -> DataFrame:
     """(value, code): dense codes in order of first occurrence."""
-    seen = train.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.min(row_id).alias("at"))
+    seen = cut(train.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.min(row_id).alias("at")))
     return placed(seen, "at", ["value"], "code").select("value", (F.col("code") + first).cast("int").alias("code"))
 
 
@@ -92,9 +101,8 @@ def apply_target_encoding(rows: DataFrame, train: DataFrame, field: str, smoothi
 def encode(rows: DataFrame, train: DataFrame, fields: list[str], row_id: str = "row_id") -> DataFrame:
     """Codes of each field; a value that train lacks gets the vocabulary's size."""
     for f in fields:
-        v = vocabulary(train, f, row_id).select(F.col("value").alias("_v"), F.col("code").alias("_c"))
-        size = v.agg(F.count(F.lit(1)).cast("int").alias("_n"))
-        rows = rows.join(v, F.col(f) == F.col("_v"), "left").crossJoin(F.broadcast(size)).withColumn(f"{f}_code", F.coalesce("_c", "_n").cast("int")).drop("_v", "_c", "_n")
+        v = cut(vocabulary(train, f, row_id)).select(F.col("value").alias("_v"), F.col("code").alias("_c"))
+        rows = rows.join(v, F.col(f) == F.col("_v"), "left").withColumn(f"{f}_code", F.coalesce("_c", F.lit(v.count())).cast("int")).drop("_v", "_c")
     return rows
 
 
@@ -197,3 +205,9 @@ def rank_fusion(parts: list[tuple[DataFrame, float]], user: str = "user_id", row
     for r in ranked[1:]:
         total = total.unionByName(r)
     return total.groupBy(user, row_id).agg(F.sum("r").alias("score"))
+
+
+def column_rank_fusion(rows: DataFrame, weights: dict[str, float], user: str = "user_id", row_id: str = "row_id") -> DataFrame:
+    """Weighted sum of the within-user percent ranks of several columns of one table, in one pass."""
+    ranks = [w * F.percent_rank().over(Window.partitionBy(user).orderBy(c)) for c, w in weights.items()]
+    return rows.select(user, row_id, sum(ranks[1:], ranks[0]).alias("score"))

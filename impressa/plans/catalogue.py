@@ -251,7 +251,7 @@ def pairwise_pairs(spark, d):
 @query(f"""with {IMP} select user_id, row_id, 0.7e0 * percent_rank() over (partition by user_id order by score) + 0.3e0 * percent_rank() over (partition by user_id order by duration) as score from scored""")
 def percent_rank_fusion(spark, d):
     scored, _ = _scored(spark, d)
-    return features.rank_fusion([(scored, 0.7), (scored.withColumn("score", F.col("duration")), 0.3)])
+    return features.column_rank_fusion(scored, {"score": 0.7, "duration": 0.3})
 
 
 @query(f"""with {IMP} select row_id, user_id, label from (select *, row_number() over (partition by user_id, label order by row_id) as p from train) where label = 1 or row_id % 4 = 0 or p <= 3""")
