@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impressa.functions import text as tx
-from impressa.operators import features, fm, ledger, metrics, models, plugins, sampling
+from impressa.operators import features, fm, lambdarank, ledger, metrics, models, plugins, sampling
 from impressa.sources import impressions, ledgers, ordered, predictions, shared
 from impressa.streaming import events as live
 
@@ -147,6 +147,25 @@ def duration_buckets(spark, d):
     return valid.select("row_id", features.bucket_left(v, edges).cast("long").alias("bucket_left"), features.bucket_right(v, edges).cast("long").alias("bucket_right"))
 
 
+@query(f"""with {IMP}, r as (select row_id, user_id, label, score, row_number() over (partition by user_id order by score desc, row_id) as k from scored
+), u as (select user_id, list_sum(list_transform(range(1, cast(least(sum(label), 5) as bigint) + 1), lambda i: 1 / log2(i + 1))) as ideal from r group by user_id having sum(label) > 0 and sum(label) < count(*)
+), d as (select r.*, ideal, case when k <= 5 then 1 / log2(k + 1) else 0 end as d from r join u using (user_id)
+), p as (select a.row_id, 2 * b.label - 1 as sign, 1 / (1 + exp((2 * a.label - 1) * (a.score - b.score))) as q, abs(a.d - b.d) / a.ideal as w from d a join d b on a.user_id = b.user_id and a.label <> b.label
+), gh as (select row_id, sum(sign * q * w) as g, sum(q * (1 - q) * w) as h from p group by row_id)
+select row_id, coalesce(gh.g, 0) as g, coalesce(gh.h, 0) as h from scored left join gh using (row_id)""")
+def lambda_gradients(spark, d):
+    """Derivatives of the ranking loss by each row's popularity score."""
+    return lambdarank.lambdas(_scored(spark, d)[0])
+
+
+@query()
+def ranking_trees_metrics(spark, d):
+    """Ranking trees fitted on train; metrics on the valid split."""
+    train, valid = (features.popularity_scores(x, _parts(spark, d)[0]).withColumnRenamed("score", "popularity") for x in _parts(spark, d))
+    model = lambdarank.LambdaRank(["duration", "popularity"], trees=3, depth=2).fit(train)
+    return metrics.ranking_metrics(model.predict(valid))
+
+
 @query(f"with {IMP} select row_id, label, coalesce((s + 20e0 * g) / (n + 20e0), g) as encoding, coalesce(n, 0) as frequency from valid left join pop using (item_id) cross join g")
 def feature_plugins(spark, d):
     """Two feature plug-ins fitted on train, applied to the valid split without its labels."""
