@@ -168,6 +168,35 @@ with d as materialized (
 select d.id as doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(items.n, 0) as bigint) as n_items,
     sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join words using (id) left join items using (id)""",
+    # for the form that the pages of the table have: one article element of headings and paragraphs, with the references of escaped text
+    "op11_html_extraction": """
+with a as (select page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?(?:p|h1)>') as parts from pages
+), t as (
+    select page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#(?:x27|39);?', chr(39), 'g'), '&amp;?', '&', 'g'),
+        '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as text from a
+)
+select page_id, url, text, cast(length(text) as bigint) as n_chars from t""",
+    "op12_periodic_runs": f"""
+with h as (
+    select doc_id, {_CRC32.format(text="cast(doc_id as varchar)")} as h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), g as (select *, len(w) as n, (h // 10) % greatest(len(w), 1) as a, 3 + (h // 10) % 8 as parts from h
+), texts as materialized (
+    select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(0, n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // parts) end]) else w end as w from g
+), words as materialized (select doc_id, n, unnest(range(0, n)) as i, unnest(w) as w from texts
+), equal as (
+    select x.doc_id, y.i - x.i as p, x.i from words x join words y on x.doc_id = y.doc_id and x.w = y.w and x.i < y.i where y.i - x.i <= x.n // 2
+), stretches as (
+    select doc_id, p, min(i) as s, count(*) + p as length from (select doc_id, p, i, i - row_number() over (partition by doc_id, p order by i) as k from equal) group by doc_id, p, k
+), runs as materialized (
+    select doc_id, s, length, min(p) as p from stretches where length >= greatest(12, 2 * p) group by doc_id, s, length
+), told as (
+    select doc_id, count(*) as n_runs, string_agg(s || ',' || length || ',' || p || chr(10), '' order by s, p) as lines, first(struct_pack(s := s, length := length, p := p) order by length desc, s, p) as best from runs group by doc_id
+), gone as (select distinct w.doc_id, w.i from words w join runs r on r.doc_id = w.doc_id and w.i >= r.s + r.p and w.i < r.s + r.length
+), kept as (select w.doc_id, string_agg(w.w, ' ' order by w.i) as t from words w anti join gone using (doc_id, i) group by w.doc_id)
+select doc_id, coalesce(n_runs, 0) as n_runs, cast(best.s as bigint) as start, cast(best.length as bigint) as length, cast(best.p as bigint) as period, cast(1000 * best.length // best.p as bigint) as exponent_milli,
+    sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from texts left join told using (doc_id) left join kept using (doc_id)""",
     "op13_merkle_manifest": f"""
 with recursive d as materialized (
     select doc_id, case when source is null then '' else '+' || source end as key, {_leaf_sql("doc_id", "source", "lang", "n_chars", "text")} as leaf,
