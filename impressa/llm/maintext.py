@@ -57,9 +57,9 @@ _ASIDE = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog",
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "status"}
 #: Words of a class or identifier that tell the same.
 _HINTS = set(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs masthead topbar header footer notice notices cookie cookies consent gdpr alert alerts popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments disqus reply replies respond discussion widget widgets toolbar pagination pager copyright disclaimer form".split()
+    "ad ads adbox adslot adunit adsbygoogle advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav aside menu menus mainmenu submenu nav navs navbar subnav topnav navigation breadcrumb breadcrumbs masthead topbar header footer notice notices cookie cookies consent gdpr alert alerts popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion widget widgets toolbar pagination pager copyright disclaimer form".split()
 )
-_COMMENTS = {"comment", "comments", "reply", "replies", "disqus", "discussion", "respond"}
+_COMMENTS = {"comment", "comments", "commentlist", "reply", "replies", "disqus", "discussion", "respond"}
 _NEGATED = {"has", "with", "no", "without", "is"}
 
 
