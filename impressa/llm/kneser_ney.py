@@ -15,9 +15,10 @@ read as needed.  The folder must be mounted on all machines; it is made under
 spark.checkpoint.dir.  Files are written under a name of their own and renamed,
 so a retried task does no harm.
 
-Words are told apart by all 64 bits of their hash, in the arrays too: of n
-distinct words about n * n / 2**65 share an id (one pair of some six billion
-words).  An n-gram takes four bytes, a code for its count and 24 bits of its
+Words are told apart by 48 bits of their hash, in the arrays too: of n distinct
+words about n * n / 2**49 share an id (none in the test tables, 30 of 130
+million), and an unseen word is taken for one of n known ones once in 2**48 / n
+times.  An n-gram takes four bytes, a code for its count and 24 bits of its
 hash, beside those that its partition and bucket imply: an n-gram that was never
 seen is taken for a seen one about once in two million times.  The training job
 returns the names and sizes of the files; scoring fails if one is missing or
@@ -50,9 +51,10 @@ ORDER = 2
 PRUNE = 1
 #: The share of texts from which frequent words are chosen, and their number; they decide how work is dealt and sent, and no result.
 SHARE = 0.05
-FREQUENT = 262_143
+FREQUENT = 65_535
 _HELD = 2_500_000
 _SCORED_BYTES = 2_000_000
+_ID = np.uint64(0xFFFFFFFFFFFF0000)  # the bits of a word's hash that are its id
 _BEGIN, _END = np.uint64(1 << 16), np.uint64(2 << 16)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _COMMON = 255  # a code of one byte for each of so many frequent values; the last code marks the others
@@ -61,7 +63,7 @@ _OPEN: dict = {}
 
 def _tokens(w, order: int):
     """Word ids of a chunk with begin and end marks: (ids, positions of the tokens scored, their documents, their ids)."""
-    h = np.maximum(w.hash, np.uint64(3 << 16))
+    h = np.maximum(w.hash & _ID, np.uint64(3 << 16))
     lead = order - 1
     size = w.count + lead + 1
     base = np.concatenate(([0], np.cumsum(size)))
@@ -140,8 +142,8 @@ def _body(row) -> bytes:
 
 
 def _gram_row(level: int, part: int, columns, counts, meta: dict):
-    """N-grams sorted by their contexts and split in byte planes, which compress well: three bytes for a frequent word, zero and its id for another."""
-    ids, numbers = meta["frequent_ids"], np.zeros((len(columns), len(counts)), np.uint32)
+    """N-grams sorted by their contexts and split in byte planes, which compress well: two bytes for a frequent word, zero and its id for another."""
+    ids, numbers = meta["frequent_ids"], np.zeros((len(columns), len(counts)), np.uint16)
     if len(ids):
         for j, c in enumerate(columns):
             at = np.minimum(np.searchsorted(ids, c), len(ids) - 1)
@@ -149,19 +151,21 @@ def _gram_row(level: int, part: int, columns, counts, meta: dict):
     order = np.lexsort((numbers[-1], numbers[0], columns[-2], numbers[-2]))
     numbers = np.ascontiguousarray(numbers[:, order])
     others = np.concatenate([c[order][own == 0] for c, own in zip(columns, numbers, strict=True)])
-    planes = numbers.view(np.uint8).reshape(len(columns), -1, 4)[:, :, :3].transpose(0, 2, 1)
+    planes = numbers.view(np.uint8).reshape(len(columns), -1, 2).transpose(0, 2, 1)
     wide = counts[order].astype(np.int64).view(np.uint8).reshape(-1, 8).T
-    return _row("gram", level, part, len(counts), len(others), b"".join((others.tobytes(), planes.tobytes(), wide.tobytes())))
+    return _row("gram", level, part, len(counts), len(others), b"".join((others.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes(), planes.tobytes(), wide.tobytes())))
 
 
 def _grams(row, meta: dict):
     """The columns and counts of a row of n-grams."""
-    body, n, level, at = np.frombuffer(_body(row), np.uint8), row["n"], row["level"], 8 * row["others"]
-    planes = body[at : at + 3 * level * n].reshape(level, 3, n).astype(np.uint32)
-    numbers = planes[:, 0] | planes[:, 1] << np.uint32(8) | planes[:, 2] << np.uint32(16)
+    body, n, level, at = np.frombuffer(_body(row), np.uint8), row["n"], row["level"], 6 * row["others"]
+    others = np.zeros((row["others"], 8), np.uint8)
+    others[:, 2:] = body[:at].reshape(-1, 6)
+    planes = body[at : at + 2 * level * n].reshape(level, 2, n)
+    numbers = planes[:, 0].astype(np.uint16) | planes[:, 1].astype(np.uint16) << np.uint16(8)
     columns = meta["frequent"][numbers]
-    columns[numbers == 0] = body[:at].view(np.uint64)
-    counts = np.ascontiguousarray(body[at + 3 * level * n :].reshape(8, n).T).view(np.int64).ravel()
+    columns[numbers == 0] = others.view(np.uint64).ravel()
+    counts = np.ascontiguousarray(body[at + 2 * level * n :].reshape(8, n).T).view(np.int64).ravel()
     return [*columns, counts]
 
 
@@ -400,7 +404,7 @@ def _frequent(texts: DataFrame, parts: int) -> dict:
     order = np.argsort(ids)
     spread = order[2 * parts * counts[order] > total]
     return {
-        "frequent": np.append(np.uint64(0), ids), "frequent_ids": ids[order], "frequent_numbers": (order + 1).astype(np.uint32),
+        "frequent": np.append(np.uint64(0), ids), "frequent_ids": ids[order], "frequent_numbers": (order + 1).astype(np.uint16),
         "spread_ids": ids[spread], "spread_over": np.array([-(-2 * parts * n // total) for n in counts[spread].tolist()], np.uint64)}
 
 

@@ -37,14 +37,14 @@ def test_words_that_collide_under_polynomials(spark):
     path, meta = kneser_ney.train(docs.where("doc_id = 1").union(docs.limit(0)), 2, 0)
     model = kneser_ney.Model(path, meta)
     ends = np.array([0, 2048, 4096])
-    ids = np.maximum(word_hash(np.frombuffer((one + two).encode(), np.uint8), ends[:-1], ends[1:]), np.uint64(3 << 16))
+    ids = np.maximum(word_hash(np.frombuffer((one + two).encode(), np.uint8), ends[:-1], ends[1:]) & kneser_ney._ID, np.uint64(3 << 16))
     assert model.words(ids)[:, 1].tolist() == [1, 0]
 
 
 def test_unseen_words_are_never_known(spark):
     docs = spark.createDataFrame([(" ".join(f"w{k}" for k in range(60_000)),)], "text string")
     path, meta = kneser_ney.train(docs, 2, 0)
-    unseen = np.random.default_rng(1).integers(1 << 20, 1 << 63, 3_000_000).astype(np.uint64)
+    unseen = np.random.default_rng(1).integers(1 << 20, 1 << 63, 3_000_000).astype(np.uint64) & kneser_ney._ID
     assert not kneser_ney.Model(path, meta).words(unseen).any()
 
 
