@@ -6,7 +6,8 @@ there, both for a block that begins outside quotes and for one that begins
 inside; prefix sums over the blocks then tell each block how it begins and
 which number its first record has.  A second pass puts lines together to
 records and numbers them.  Only records that cross the border of two blocks are
-shuffled.  A task holds a block; the table of blocks has a row per split.
+shuffled.  A task holds a batch of lines; the table of blocks has a row per
+split.
 
 An npy file is read by byte ranges that its header gives, one per task.
 """
@@ -40,31 +41,20 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"))
 
 
-def _blocks(batches):
-    """(first row, table) of each run of rows of one block."""
-    held = []
+def _runs(batches):
+    """(file and block, rows) of each run of a batch's rows of one block."""
     for batch in batches:
         at = 0
         while at < batch.num_rows:
             key = batch.column(0)[at], batch.column(1)[at]
             same = pc.and_(pc.equal(batch.column(0)[at:], key[0]), pc.equal(batch.column(1)[at:], key[1])).to_numpy(zero_copy_only=False)
             n = int(np.argmin(same)) if not same.all() else len(same)
-            if held and (held[0].column(0)[0], held[0].column(1)[0]) != key:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(batch.slice(at, n))
+            yield (key[0].as_py(), key[1].as_py()), batch.slice(at, n)
             at += n
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _column(table: pa.Table, name: str) -> pa.Array:
-    found = table.column(name)
-    return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
 
 
 def _begins(texts: pa.Array, inside: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(lines that begin within quotes, lines that begin a record, quotes) of a block that begins inside quotes or not."""
+    """(lines that begin within quotes, lines that begin a record, quotes) of lines that follow one another, the first within quotes or not."""
     quotes = pc.count_substring(texts, '"').to_numpy(zero_copy_only=False).astype(np.int64)
     within = (inside + np.cumsum(quotes) - quotes) % 2 == 1
     blank = pc.is_in(texts, value_set=pa.array(["", "\r"])).to_numpy(zero_copy_only=False)
@@ -72,33 +62,60 @@ def _begins(texts: pa.Array, inside: int) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _count(batches):
-    out = []
-    for table in _blocks(batches):
-        texts = _column(table, "text")
-        (_, outside, quotes), (_, inside, _) = _begins(texts, 0), _begins(texts, 1)
-        out.append((table.column(0)[0].as_py(), table.column(1)[0].as_py(), quotes, int(outside.sum()), int(inside.sum())))
+    out = {}
+    for key, rows in _runs(batches):
+        quotes, outside, inside = out.get(key, (0, 0, 0))
+        (_, plain, more), (_, quoted, _) = _begins(rows.column("text"), quotes % 2), _begins(rows.column("text"), (quotes + 1) % 2)
+        out[key] = quotes + more, outside + int(plain.sum()), inside + int(quoted.sum())
+    found = [(*key, *counts) for key, counts in out.items()]
     names = ["file", "block", "quotes", "outside", "inside"]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, [pa.string(), *[pa.int64()] * 4], strict=True)], names)
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found, strict=True)) or [[]] * 5, [pa.string(), *[pa.int64()] * 4], strict=True)], names)
+
+
+def _pieces(texts: list, numbers: np.ndarray, broken: np.ndarray, base: int, block: int):
+    n = len(numbers)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, base)), pa.array(numbers), pa.array(np.full(n, block)), texts, pa.array(broken)], ["base", "number", "piece", "text", "broken"])
 
 
 def _assemble(batches):
-    """Records of each block; pieces of a record that goes on in another block are marked."""
-    for table in _blocks(batches):
-        texts, start, first, base = _column(table, "text"), *(table.column(c)[0].as_py() for c in ("start", "first", "base"))
-        within, begins, quotes = _begins(texts, start)
+    """Records of each block; pieces of a record that goes on in another block are marked.
+
+    Of a block only one batch is held, and the lines of the record that it leaves open.
+    """
+    now, quotes, number, base, opened, cut_off = None, 0, 0, 0, [], False
+
+    def rest():
+        """What the block leaves open goes on in the next one."""
+        if opened:
+            yield _pieces(pa.array(["\n".join(opened)]), np.array([number]), np.array([True]), base, now[1])
+
+    for key, rows in _runs(batches):
+        if key != now:
+            yield from rest()
+            quotes, number, base = (rows.column(c)[0].as_py() for c in ("start", "first", "base"))
+            # opened: texts of the record that is open; cut_off: it began in another block
+            now, number, opened, cut_off = key, number - 1, [], quotes == 1
+        within, begins, more = _begins(rows.column("text"), quotes % 2)
+        quotes += more
         keep = np.flatnonzero(within | begins)
         if not len(keep):
             continue
-        texts, begins = texts.take(pa.array(keep)), begins[keep]
-        at = np.flatnonzero(np.append(begins, True))
-        heads = at if at[0] == 0 else np.concatenate(([0], at))
-        records = pc.binary_join(pa.ListArray.from_arrays(pa.array(heads, pa.int32()), texts), "\n")
-        number = first + np.cumsum(begins)[heads[:-1]] - 1
-        broken = np.zeros(len(records), bool)
-        broken[0] = start == 1
-        broken[-1] |= (start + quotes) % 2 == 1
-        n = len(records)
-        yield from pa.Table.from_arrays([pa.array(np.full(n, base)), pa.array(number), pa.array(np.full(n, table.column(1)[0].as_py())), records, pa.array(broken)], ["base", "number", "piece", "text", "broken"]).to_batches()
+        texts, begins = rows.column("text").take(pa.array(keep)), begins[keep]
+        at = np.flatnonzero(begins)
+        first = int(at[0]) if len(at) else len(keep)
+        opened += ["\n".join(texts[:first].to_pylist())] if first else []
+        if opened and (len(at) or quotes % 2 == 0):
+            yield _pieces(pa.array(["\n".join(opened)]), np.array([number]), np.array([cut_off]), base, key[1])
+            opened, cut_off = [], False
+        if len(at):
+            numbers, ends = number + 1 + np.arange(len(at)), np.append(at, len(keep))
+            if quotes % 2:
+                opened, ends = ["\n".join(texts[int(at[-1]) :].to_pylist())], ends[:-1]
+            if len(ends) > 1:
+                held = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts), "\n")
+                yield _pieces(held, numbers[: len(held)], np.zeros(len(held), bool), base, key[1])
+            number += len(at)
+    yield from rest()
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import csv
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from impressa.sources import impressions, ordered, predictions
@@ -78,3 +79,34 @@ def test_arrays_of_other_forms(spark, tmp_path):
     np.save(tmp_path / "m.npy", np.zeros((2, 2)))
     with pytest.raises(Exception, match="one-dimensional"):
         predictions.read_scores(spark, str(tmp_path / "m.npy")).count()
+
+
+@pytest.mark.parametrize("size", ["1", "7"])
+def test_records_over_batches(spark, tmp_path, small_splits, size):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        r = random.Random(size)
+        rows = [(str(k), r.choice(["x", "\n\n", "line\nbreak\n" * 9, '"', "", "long " * 40, 'a "b"\n\n"c"'])) for k in range(80)]
+        write(tmp_path / "a.csv", [("k", "text"), *rows])
+        want = [(i, k, t or None) for i, (k, t) in enumerate(rows)]
+        assert sorted(map(tuple, ordered.read_csv(spark, str(tmp_path / "a.csv")).collect())) == want
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000000")
+        assert sorted(map(tuple, ordered.read_csv(spark, str(tmp_path / "a.csv")).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_block_is_not_held_whole():
+    taken = []
+
+    def lines():
+        for k in range(50):
+            taken.append(k)
+            columns = {"file": ["f"] * 4, "block": [0] * 4, "text": [f"{k},x", f'{k},"a', "", '"'], "start": [0] * 4, "first": [0] * 4, "base": [5] * 4}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    out = ordered._assemble(lines())
+    first = next(out)
+    assert len(taken) <= 2 and first.column("text").to_pylist()[0] == "0,x"
+    found = [first.to_pylist(), *[b.to_pylist() for b in out]]
+    assert [(x["number"], x["text"], x["broken"]) for b in found for x in b] == [(2 * k + j, (f"{k},x", f'{k},"a\n\n"')[j], False) for k in range(50) for j in (0, 1)]
