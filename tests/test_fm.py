@@ -1,10 +1,12 @@
 """Minibatch training against one machine, early stop, resumption, and scores by arrays and by join."""
 
 import math
+import pickle
 import random
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from impressa.operators import fm
@@ -108,3 +110,31 @@ def test_scores_from_a_table(spark, limit):
     given = spark.createDataFrame([(1, 1, "x"), (2, 2, "y"), (3, None, None), (4, 2, "x")], "row_id long, a int, b string")
     got = {r.row_id: r.score for r in fm.scores(given, ["a", "b"], parameters, 0.1, max_parameters=limit).collect()}
     assert got == pytest.approx({1: 0.1 + 0.75 + 1.0, 2: 0.1 - 1.0, 3: 0.1, 4: 0.1 - 0.75 + 1.0})
+
+
+def test_shards_do_not_change_the_training(spark, monkeypatch):
+    train, valid = rows(spark, 300), rows(spark, 100, 1, 1000)
+
+    def fit():
+        return fm.MinibatchFM(["a_code", "b_code"], factors=3, lr=0.05, batch_rows=150, epochs=2).fit(train, valid)
+
+    one = fit()
+    monkeypatch.setattr(fm, "_SHARD_PARAMETERS", 20)
+    monkeypatch.setattr(fm, "_TASK_ROWS", 40)
+    many = fit()
+    for a, b in ((one.v, many.v), (one.w, many.w), (one.first, many.first), (one.second, many.second), (one.primary, many.primary), (one.b, many.b)):
+        assert np.allclose(a, b, atol=1e-12)
+
+
+def test_steps_send_the_driver_no_gradients(spark, monkeypatch):
+    sent, run = [], SparkContext.runJob
+
+    def noted(*args, **kw):
+        out = run(*args, **kw)
+        sent.append(len(pickle.dumps(out)))
+        return out
+
+    monkeypatch.setattr(SparkContext, "runJob", noted)
+    train = spark.range(600).select(F.col("id").alias("row_id"), F.col("id").alias("user_id"), F.col("id").cast("int").alias("a_code"), (F.col("id") % 5).cast("int").alias("b_code"), (F.col("id") % 2).cast("int").alias("label"))
+    state = fm.MinibatchFM(["a_code", "b_code"], batch_rows=300, epochs=1).fit(train, train)
+    assert state.step == 2 and max(sent, default=0) < 2_000
