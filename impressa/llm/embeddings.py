op4_embedding_near_dedup: a vector's norm is computed once, not for each of its elements

Symptom: op4 spent 1483 CPU seconds of the JVM per input GB (0.02 GB of vectors), two thirds of it in the two passes that find the principal directions.
Evidence: both treeAggregate stages took 10 to 11 s of JVM CPU; the norm, itself a sum over the vector, stood inside the lambda that divides each element by it, so a vector of 64 cost 64 x 64 interpreted steps. The fit alone took 18 s on one core for 51,282 vectors, 1.3 s with the norm outside.
Fix: the norm goes into zip_with as a repeated value; the quotients are the same, a norm of zero is still an error.
Effect, together with 2 more commits on this code: at 0.6 GB of input CPU 556 -> 429 s, shuffle 0.32 -> 0.32 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.05 GB, longest task 9 -> 4 s, most memory of a task 68 -> 68 MB; at 6 GB of input CPU 8767 -> 3618 s, shuffle 19.15 -> 19.16 GB, spill 17.00 -> 16.98 GB, read 0.52 -> 0.52 GB, longest task 92 -> 52 s, most memory of a task 906 -> 906 MB; with hot keys, at 0.6 GB of input CPU 594 -> 379 s, shuffle 0.22 -> 0.23 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.05 GB, longest task 12 -> 4 s, most memory of a task 67 -> 68 MB.

@@ -49,6 +49,12 @@ def _valid(v):
     return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
+def _unit(c: str):
+    """The vector at length 1; what a lambda names is computed for each of its elements, so the norm is handed to it."""
+    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    return F.zip_with(c, F.array_repeat(norm, F.size(c)), lambda x, n: x.cast("double") / n)
+
+
 def _blocks(rows: DataFrame, directions: np.ndarray, eps: float, size: int, kind) -> DataFrame:
     """Sorted blocks of the epsilon grid order: bounding box, ids, weights and vectors."""
     k = directions.shape[1]
@@ -146,8 +152,7 @@ def _same_length(groups: DataFrame, dim: int, kind, cosine: float, block: int, l
     """(embedding, links, component) of distinct vectors of one length, each with its smallest id and number of copies."""
     spark = groups.sparkSession
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)) * (1 + 1e-6) + 1e-9)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
-    unit = groups.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double") / norm)).alias("v"))
+    unit = groups.select(array_to_vector(_unit("embedding")).alias("v"))
     directions = PCA(k=min(leading, dim), inputCol="v", outputCol="p").fit(unit).pc.toArray()
 
     made = cut(_blocks(groups, directions, eps, block, kind))

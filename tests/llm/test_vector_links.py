@@ -32,3 +32,14 @@ def test_links_of_a_block_pair(copies, same):
     assert dict(zip(ids.tolist(), counts.tolist(), strict=True)) == want and len(ids) == len(want)
     assert counts.dtype == np.int64 and bool(want) == (copies > (1 if same else 0))
     assert set(roots.tolist()) == ({int(ids.min())} if want else set())
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_the_norm_is_computed_once_per_vector(spark, kind):
+    df = spark.createDataFrame([(i, [1.0 + i, -2.0, 0.5 * i]) for i in range(5)], f"i long, embedding array<{kind}>")
+    made = df.select("i", embeddings._unit("embedding").alias("u"))
+    inside = str(made._jdf.queryExecution().optimizedPlan()).split("lambdafunction(")
+    assert sum("aggregate(" in x for x in inside) == 1 and "/ SQRT(" not in "".join(inside)
+    for x in made.collect():
+        v = np.array([1.0 + x.i, -2.0, 0.5 * x.i])
+        assert x.u == pytest.approx(v / np.sqrt((v * v).sum()), rel=1e-12)
