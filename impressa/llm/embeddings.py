op4_embedding_near_dedup: rows meet their vector by its hash, then value by value

Symptom: the last join, of rows with their distinct vector, took 3 to 4 s of the JVM for 51,282 rows.
Evidence: Spark normalises floats in the keys of a join (zeros and NaN), for arrays by an interpreted transform; as the sort had no other key, that transform ran for both rows of each comparison.
Fix: the join's key is the 64-bit hash of the vector, the vectors are compared as a condition on top, so results rest on no hash; rows without a vector are dealt by their id and no longer land in one partition.
Effect, together with 2 more commits on this code: at 0.6 GB of input CPU 556 -> 429 s, shuffle 0.32 -> 0.32 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.05 GB, longest task 9 -> 4 s, most memory of a task 68 -> 68 MB; at 6 GB of input CPU 8767 -> 3618 s, shuffle 19.15 -> 19.16 GB, spill 17.00 -> 16.98 GB, read 0.52 -> 0.52 GB, longest task 92 -> 52 s, most memory of a task 906 -> 906 MB; with hot keys, at 0.6 GB of input CPU 594 -> 379 s, shuffle 0.22 -> 0.23 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.05 GB, longest task 12 -> 4 s, most memory of a task 67 -> 68 MB.

@@ -208,6 +208,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = [_same_length(groups.where(F.size("embedding") == r.d), r.d, kind, cosine, block, leading) for r in groups.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
     if not found:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    key = reduce(DataFrame.unionAll, found).withColumnRenamed("embedding", "_e")
-    return rows.join(key, F.col("embedding") == F.col("_e"), "left").select(
+    # by hash, then value by value: as a key of the join, a vector of floats would be normalised again at each comparison of the sort
+    key = reduce(DataFrame.unionAll, found).withColumnRenamed("embedding", "_e").withColumn("_h", F.xxhash64("_e"))
+    rows = rows.withColumn("h", F.when(F.col("embedding").isNull(), F.xxhash64("vec_id")).otherwise(F.xxhash64("embedding")))
+    equal = (F.col("h") == F.col("_h")) & (F.col("embedding") <= F.col("_e")) & (F.col("embedding") >= F.col("_e"))
+    return rows.join(key, equal, "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -43,3 +43,24 @@ def test_the_norm_is_computed_once_per_vector(spark, kind):
     for x in made.collect():
         v = np.array([1.0 + x.i, -2.0, 0.5 * x.i])
         assert x.u == pytest.approx(v / np.sqrt((v * v).sum()), rel=1e-12)
+
+
+def odd_rows(kind):
+    r = np.random.default_rng(5)
+    some = r.normal(size=(12, 4)).astype(np.float32).tolist()
+    rows = [(i, v) for i, v in enumerate(some * 2)] + [(3, some[7]), (None, some[0]), (40, None), (41, [0.0, -0.0, 0.0, 0.0]), (42, [None, 1.0, 1.0, 1.0]), (43, []), (44, [float("nan"), 1.0, 1.0, 1.0]), (45, [-float("inf"), 1.0, 1.0, 1.0]), (46, [1.0, 0.0, 0.0, 0.0]), (47, [1.0, -0.0, 0.0, -0.0])]
+    return rows, f"vec_id long, embedding array<{kind}>"
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_rows_meet_their_vector_by_hash_and_value(spark, kind, monkeypatch):
+    df = spark.createDataFrame(*odd_rows(kind))
+    found = embeddings.near_duplicates(df)
+    assert "normaliz" not in str(found._jdf.queryExecution().optimizedPlan())  # floats as keys of a join are
+    got = sorted(map(tuple, found.collect()), key=str)
+    both = {i: c for i, _, c, _ in got}
+    assert len(got) == 34 and all(both[i] == both[i + 12] for i in range(12)) and both[46] == both[47] == 46
+    assert {r for r in got if r[0] is None or r[0] in range(40, 46)} == {(None, 0, None, True)} | {(i, 0, i, True) for i in range(40, 46)}
+    real = embeddings.F.xxhash64
+    monkeypatch.setattr(embeddings.F, "xxhash64", lambda *c: real(*c) % 3)  # equal hashes of unequal vectors
+    assert sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=str) == got
